@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op10_swap_packing
 from .sharding import op9_jump_shards
+from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_files": op5_token_files,
     "op9_jump_shards": op9_jump_shards,
+    "op10_swap_packing": op10_swap_packing,
 }
 ORACLES: dict[str, str] = {}
