@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP1_ORACLE, op1_exact_dedup
+from .langid import op6_language_id
 from .packing import op10_swap_packing
 from .sharding import op9_jump_shards
 from .simhash import op4_simhash_near
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash_near": op4_simhash_near,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
     "op9_jump_shards": op9_jump_shards,
     "op10_swap_packing": op10_swap_packing,
 }
