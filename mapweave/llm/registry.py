@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP1_ORACLE, op1_exact_dedup
 from .langid import op6_language_id
 from .packing import op10_swap_packing
+from .pii import op8_pii_spans
 from .quality import op7_quality_mcd
 from .sharding import op9_jump_shards
 from .simhash import op4_simhash_near
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_quality_mcd": op7_quality_mcd,
+    "op8_pii_spans": op8_pii_spans,
     "op9_jump_shards": op9_jump_shards,
     "op10_swap_packing": op10_swap_packing,
 }
