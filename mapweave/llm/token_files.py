@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, on_workers, stage
-from .encoding import ids_of
+from .encoding import encoder, ids_of
 
 MAGIC = b"MWTK"
 HEADER = struct.Struct("<4sBxxxIQQ")  # magic, bits an id, ids a block, documents, ids
@@ -126,6 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
                 yield pa.record_batch({"place": pa.array(np.searchsorted(cuts, keys, side="left").astype(np.int32)), "doc_id": part.column(0), "n": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # this worker may have encoded before; writing needs the memory
         place, part, size, keys, held = -1, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
