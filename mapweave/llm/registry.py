@@ -11,12 +11,14 @@ from .langid import op6_language_id
 from .packing import op10_swap_packing
 from .pii import op8_pii_spans
 from .quality import op7_quality_mcd
+from .sentencepieces import op2_sentencepiece
 from .sharding import op9_jump_shards
 from .simhash import op4_simhash_near
 from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash_near": op4_simhash_near,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
