@@ -1,0 +1,29 @@
+"""Semi-join closure to a fixpoint, and the shared folder that cuts its lineage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+MAX_ROUNDS = 1000
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to spark.checkpoint.dir (a temporary folder where that is unset) and cut from its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mapweave-"))
+    return df.checkpoint()
+
+
+def closure(start: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Ids reachable from ``start`` (id) over ``edges`` (src, dst), themselves included; cycles end by the anti-join on what is known."""
+    seen = front = checkpointed(start.select("id").distinct())
+    for _ in range(MAX_ROUNDS):
+        step = edges.join(front.withColumnRenamed("id", src), src, "left_semi").select(edges[dst].alias("id")).distinct()
+        front = checkpointed(step.join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = checkpointed(seen.unionAll(front))
+    raise RuntimeError(f"no fixpoint in {MAX_ROUNDS} rounds")
