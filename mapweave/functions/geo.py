@@ -147,7 +147,7 @@ def degrees(e7: Column | str) -> Column:
     """Degrees as text without trailing zeros, from whole units."""
     c = F.col(e7) if isinstance(e7, str) else e7
     size = F.abs(c.cast("bigint"))
-    fraction = F.rtrim(F.lit("0"), F.lpad((size % 10_000_000).cast("string"), 7, "0"))
+    fraction = F.rtrim(F.lpad((size % 10_000_000).cast("string"), 7, "0"), F.lit("0"))
     whole = (size - size % 10_000_000) / 10_000_000
     text = F.concat(F.when(c < 0, "-").otherwise(""), whole.cast("bigint").cast("string"))
     return F.when(F.length(fraction) > 0, F.concat(text, F.lit("."), fraction)).otherwise(text)
