@@ -602,7 +602,7 @@ h2 AS (SELECT kind, id, kr, {m(h(x('z', sh('z', 27))), 0x94D049BB133111EB)} AS z
 h3 AS (SELECT kind, id, kr, {x('z', sh('z', 31))} AS hash FROM h2)"""
 
 
-@query("topk_drop_ids", "SELECT kind, id, CAST(hash AS VARCHAR) AS hash FROM h3 ORDER BY hash, kr, id LIMIT 100", _hash_sql(42))
+@query("topk_drop_ids", "SELECT kind, id, CAST(hash AS VARCHAR) AS hash FROM h3 ORDER BY h3.hash, kr, id LIMIT 100", _hash_sql(42))
 def _(g):
     return od.drop_ids(g.dataset.ids(), 100, 42).withColumn("hash", F.col("hash").cast("string"))
 
