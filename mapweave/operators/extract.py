@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,23 +39,24 @@ def parse_geojson(text: str) -> Region:
     return Region.of_polygons([[[(p[0], p[1]) for p in ring] for ring in rings] for rings in polygons])
 
 
-def parse_config(text: str) -> dict[str, Region]:
-    """Regions by output name from a JSON list ``extracts``, each with ``output`` and ``bbox`` or ``polygon``/``geometry``."""
+def parse_config(text: str, folder: str = ".") -> dict[str, Region]:
+    """Regions by output name from a JSON list ``extracts``: each has ``output`` and one of ``bbox`` (four numbers), ``polygon`` (GeoJSON) and ``polygon_file`` (a path from ``folder``)."""
     out: dict[str, Region] = {}
     slots = json.loads(text).get("extracts", [])
     if not 0 < len(slots) <= MAX_REGIONS:
         raise ValueError(f"from 1 to {MAX_REGIONS} extracts are allowed")
     for slot in slots:
-        name = slot["output"]
+        name, given = slot["output"], [k for k in ("bbox", "polygon", "polygon_file") if k in slot]
         if name in out:
             raise ValueError(f"output used twice: {name!r}")
-        if "bbox" in slot:
-            box = slot["bbox"]
-            out[name] = Region(Box.of(box if isinstance(box, str) else ",".join(map(str, box))))
-        elif "polygon" in slot:
-            out[name] = Region.of_polygons([[[tuple(p) for p in ring] for ring in slot["polygon"]]])
+        if len(given) != 1:
+            raise ValueError(f"{name!r} needs exactly one of bbox, polygon and polygon_file")
+        if given == ["bbox"]:
+            out[name] = Region(Box.of(",".join(map(str, slot["bbox"]))))
+        elif given == ["polygon"]:
+            out[name] = parse_geojson(json.dumps(slot["polygon"]))
         else:
-            out[name] = parse_geojson(json.dumps(slot["geometry"]))
+            out[name] = parse_geojson(Path(folder, slot["polygon_file"]).read_text())
     return out
 
 

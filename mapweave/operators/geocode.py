@@ -226,13 +226,13 @@ def admin_polygons(ds: Dataset, located: DataFrame) -> DataFrame:
     Rings are joined from member ways by a function over one relation's ways at a time, which a relation's size bounds.
     """
     admin = admin_relations(ds.relations)
-    parts = ds.rel_members.where("mtype = 'w'").join(admin, ds.rel_members["rel_id"] == admin["id"]).select("id", "level", "name", "country", "pos", (F.col("role") == "inner").alias("inner"), "ref")
+    parts = ds.rel_members.where("mtype = 'w'").join(admin.withColumnRenamed("id", "rel_id"), "rel_id").select(F.col("rel_id").alias("id"), "level", "name", "country", "pos", (F.col("role") == "inner").alias("inner"), "ref")
     ways = located.select(F.col("id").alias("ref"), F.transform(F.filter("locations", lambda p: (p["lat_e7"] != 0) | (p["lon_e7"] != 0)), lambda p: F.array(p["lat_e7"], p["lon_e7"])).alias("line"))
     rows = parts.join(ways, "ref").select("id", "level", "name", "country", "pos", F.coalesce("inner", F.lit(False)).alias("inner"), "line")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        lines = lambda inner: [[tuple(p) for p in line] for line in group.loc[group["inner"] == inner, "line"]]
+        lines = lambda inner: [[tuple(map(int, p)) for p in line] for line in group.loc[group["inner"] == inner, "line"]]
         outers, holes = assemble_rings(lines(False)), assemble_rings(lines(True))
         out = []
         for k, ring in enumerate(outers):
