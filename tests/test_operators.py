@@ -251,7 +251,7 @@ def test_admin(spark):
     def box(first, x1, y1, x2, y2):
         return [(first + k, y, x, {}) for k, (x, y) in enumerate([(x1, y1), (x2, y1), (x2, y2), (x1, y2)])]
 
-    nodes = box(1, 0, 0, 10, 10) + box(11, 2, 2, 4, 4) + box(21, 6, 6, 7, 7)
+    nodes = box(1, 1, 1, 10, 10) + box(11, 2, 2, 4, 4) + box(21, 6, 6, 7, 7)
     ways = [(50, [1, 2, 3], {}), (51, [1, 4, 3], {}), (52, [11, 12, 13, 14, 11], {}), (53, [21, 22, 23, 24, 21], {})]
     rels = [(200, [("w", 50, "outer"), ("w", 51, "outer"), ("w", 53, "inner")], {"boundary": "administrative", "admin_level": "2", "name": "Big", "ISO3166-1:alpha2": "BG"}),
             (201, [("w", 52, "")], {"boundary": "administrative", "admin_level": "2", "name": "Small"}), (202, [("w", 52, "outer")], {"boundary": "postal_code", "postal_code": "123"}),
