@@ -17,7 +17,7 @@ from operator import is_
 from tokenizers import Tokenizer
 
 #: Parts that the table of a worker process keeps; later ones are encoded each time they come.
-CACHE_ENTRIES = 650_000
+CACHE_ENTRIES = 350_000
 #: Longer parts are not kept.
 CACHE_CHARS = 64
 #: Parts handed to the library at once.

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, on_workers, stage
+from .common import documents, on_workers, stage, trimmed
 from .encoding import ids_of
 
 #: Pieces that one task packs together; groups fill their last sequence alone, one in some thousands.
@@ -144,7 +144,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 yield pa.record_batch({n: pa.array([r[k] for r in out], kinds[k]) for k, n in enumerate(names)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -187,7 +187,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    return dealt.repartition("_group").sortWithinPartitions("_group", "doc_id", "piece", "ids_crc32").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return dealt.repartition("_group").sortWithinPartitions("_group", "doc_id", "piece", "ids_crc32").mapInArrow(trimmed(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, with_ids: bool = False) -> DataFrame:

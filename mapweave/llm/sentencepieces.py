@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, on_workers
+from .common import documents, on_workers, trimmed
 from .encoding import little_endian
 
 #: The mark that stands for a space.
@@ -227,7 +227,7 @@ def encode_documents(docs: DataFrame, path: str, verify: bool = True, with_ids:
                     out["ids"] = pa.array([list(memoryview(x).cast("I")) for x in ids], pa.list_(pa.int32()))
                 yield pa.record_batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -239,7 +239,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.record_batch({"doc_id": batch.column(0), "text": pa.array([p.decode(little_endian(x or [])) for x in batch.column(1).to_pylist()], pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

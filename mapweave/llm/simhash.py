@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, on_workers, stage
+from .common import documents, join_counted, on_workers, stage, trimmed
 from .components import components
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             prints = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))})
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _masks(low: int, high: int, flips: int) -> list[int]:
@@ -186,7 +186,7 @@ def _dealt(rows: DataFrame, bits: int, distance: int) -> DataFrame:
                     held = []
         yield from close()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ROW)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), ROW)
 
 
 def near_edges(nodes: DataFrame, distance: int, bits: int) -> DataFrame:

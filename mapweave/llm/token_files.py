@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, on_workers, stage
-from .encoding import encoder, ids_of
+from .common import documents, on_workers, stage, trimmed
+from .encoding import ids_of
 
 MAGIC = b"MWTK"
 HEADER = struct.Struct("<4sBxxxIQQ")  # magic, bits an id, ids a block, documents, ids
@@ -126,7 +126,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
                 yield pa.record_batch({"place": pa.array(np.searchsorted(cuts, keys, side="left").astype(np.int32)), "doc_id": part.column(0), "n": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # this worker may have encoded before; writing needs the memory
         place, part, size, keys, held = -1, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
@@ -145,9 +144,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
         if keys:
             yield flush()
 
-    encoded = rows.mapInArrow(encode, "place int, doc_id long, n long, ids binary")
+    encoded = rows.mapInArrow(trimmed(encode), "place int, doc_id long, n long, ids binary")
     ordered = encoded.repartition("place").sortWithinPartitions("place", "doc_id", "n", "ids")
-    return stage(ordered.mapInArrow(write, "place int, part int, n_docs long, n_ids long, content binary"), "token-files")
+    return stage(ordered.mapInArrow(trimmed(write), "place int, part int, n_docs long, n_ids long, content binary"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not document
     offsets = files.select("place", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
-    read_back = files.select("place", "part", "content").mapInArrow(read, "place int, part int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    read_back = files.select("place", "part", "content").mapInArrow(trimmed(read), "place int, part int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return read_back.join(offsets, ["place", "part"]).select("doc_id", (F.col("_base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "place", "part")
 
 
