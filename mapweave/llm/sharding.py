@@ -98,3 +98,20 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFr
     placed = assign_shards(docs, "doc_id", shards)
     return number_slots(placed, "doc_id", ["text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _op9_oracle(shards: int = 8) -> str:
+    """The same hash in SQL: products modulo 2^64 in 128-bit integers, and the walk unrolled, as each step raises the shard."""
+    mul = lambda a, c: f"CAST((CAST({a} AS UHUGEINT) * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    shift = lambda n: f"xor(z, z >> {n})"
+    steps = [
+        f"h0 AS (SELECT *, CAST((CAST(doc_id AS UHUGEINT) + {MIX[0]}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM documents)",
+        f"h1 AS (SELECT * REPLACE ({mul(shift(30), MIX[1])} AS z) FROM h0)", f"h2 AS (SELECT * REPLACE ({mul(shift(27), MIX[2])} AS z) FROM h1)",
+        f"s0 AS (SELECT doc_id, text, {shift(31)} AS z, 0::BIGINT AS at8, 0::BIGINT AS at9, 0::BIGINT AS ahead FROM h2)",
+    ]
+    for k in range(shards + 1):
+        moved = f"SELECT doc_id, text, CASE WHEN ahead < {shards + 1} THEN CAST(({mul('z', JUMP)}::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) ELSE z END AS z, CASE WHEN ahead < {shards} THEN ahead ELSE at8 END AS at8, CASE WHEN ahead < {shards + 1} THEN ahead ELSE at9 END AS at9, ahead FROM s{k}"
+        steps.append(f"s{k + 1} AS (SELECT * REPLACE (CASE WHEN ahead < {shards + 1} THEN CAST(floor((at9 + 1) * (2147483648.0::DOUBLE / ((z >> 33) + 1)::DOUBLE)) AS BIGINT) ELSE ahead END AS ahead) FROM ({moved}))")
+    return f"""WITH {', '.join(steps)},
+f AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, text, CAST(at8 AS INT) AS shard, CAST(at9 AS INT) AS grown_shard FROM s{shards + 1})
+SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM f"""

@@ -207,3 +207,15 @@ def test_shards_and_slots(spark, monkeypatch):
         assert [m[0] for m in mine] == list(range(len(mine))) and [m[1] for m in mine] == sorted(m[1] for m in mine)
     assert len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
     assert sharding.number_slots(sharding.assign_shards(docs(spark, []), "doc_id", 8), "doc_id", ["text"]).count() == 0
+
+
+def test_shards_against_sql(spark):
+    """All columns but the checksum, which DuckDB lacks."""
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    names = ["doc_id", "size", "law", "shard", "slot", "grown_shard"]
+    want = c.execute(f"select {', '.join(names)} from ({sharding._op9_oracle()})").fetchall()
+    assert sorted(tuple(r) for r in sharding.op9_jump_shards(spark, d).select(names).collect()) == sorted(want)
