@@ -756,7 +756,7 @@ RADIUS = 300_000.0
 
 
 def _d2(lat: str = "lat_e7", lon: str = "lon_e7") -> str:
-    return f"(power(radians(({lon}-qlon)/1e7)*cos(radians(qlat/1e7)),2)+power(radians(({lat}-qlat)/1e7),2))"
+    return f"(power(radians(({lon}::DOUBLE-qlon)/1e7)*cos(radians(qlat/1e7)),2)+power(radians(({lat}::DOUBLE-qlat)/1e7),2))"
 
 
 def points(g: Graph) -> DataFrame:
