@@ -190,6 +190,15 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     is_hot = at >= 0
                     own += np.bincount(doc[is_hot], weights=weight[is_hot] * logs[k][at[is_hot]], minlength=len(ids))
                     keys, doc, weight = keys[~is_hot], doc[~is_hot], weight[~is_hot]
+                if k < order - 1:  # these count for documents of just k words; the other n-grams go as counts of distinct keys
+                    found, n = np.unique(keys[weight == 0], return_counts=True)
+                    part = (found % np.uint64(parts)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    found, n, part = found[by], n[by], part[by]
+                    for at in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                        if len(at):
+                            out.append((int(part[at[0]]), k, np.zeros(1, "<i8").tobytes(), np.array([len(at)], "<u4").tobytes(), b"\0", _short(found[at], parts), n[at].astype("<u4").tobytes()))
+                    keys, doc, weight = keys[weight != 0], doc[weight != 0], weight[weight != 0]
                 if not len(keys):
                     continue
                 part = (keys % np.uint64(parts)).astype(np.int64)
@@ -197,13 +206,11 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 keys, doc, weight, part = keys[by], doc[by], weight[by], part[by]
                 cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    short = (keys[a:b] // np.uint64(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1)
-                    data = np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
                     seg = np.flatnonzero(np.r_[True, (np.diff(doc[a:b]) != 0) | (np.diff(weight[a:b]) != 0)])
-                    out.append((int(part[a]), k, ids[doc[a:b][seg]].astype("<i8").tobytes(), np.diff(np.r_[seg, b - a]).astype("<u4").tobytes(), weight[a:b][seg].astype("<i1").tobytes(), data))
-            names = ("part", "k", "docs", "sizes", "weights", "keys")
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            out.append((-1, 0, ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), b"", own.astype("<f8").tobytes()))
+                    out.append((int(part[a]), k, ids[doc[a:b][seg]].astype("<i8").tobytes(), np.diff(np.r_[seg, b - a]).astype("<u4").tobytes(), weight[a:b][seg].astype("<i1").tobytes(), _short(keys[a:b], parts), b""))
+            names = ("part", "k", "docs", "sizes", "weights", "keys", "counts")
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            out.append((-1, 0, ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), b"", own.astype("<f8").tobytes(), b""))
             yield pa.record_batch({n: pa.array([r[c] for r in out], t) for c, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +224,9 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :KEY_BYTES] = raw
             keys = wide.view("<u8").reshape(-1)
-            _, same, n = np.unique(keys, return_inverse=True, return_counts=True)
+            times = np.concatenate([np.frombuffer(r["counts"], "<u4") if len(r["counts"]) else np.ones(len(r["keys"]) // KEY_BYTES, np.uint32) for r in held])
+            found, same = np.unique(keys, return_inverse=True)
+            n = np.bincount(same, weights=times, minlength=len(found))
             sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in held]).astype(np.int64)
             ids = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in held])
             weight = np.concatenate([np.frombuffer(r["weights"], "<i1") for r in held])
@@ -227,7 +236,9 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield pa.record_batch({"doc_id": pa.array(ids), "n_words": pa.array(np.zeros(len(ids), np.int64)), "s": pa.array(np.bincount(back, weights=sums[some], minlength=len(ids)).astype(np.float64))})
 
         for batch in batches:
-            for r in batch.to_pylist():
+            parts_, orders_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(batch.num_rows):
+                r = {"part": parts_[i], "k": orders_[i]} | {c: batch.column(j)[i].as_buffer() for j, c in enumerate(("docs", "sizes", "weights", "keys", "counts"), 2)}
                 if r["part"] < 0:
                     yield pa.record_batch({"doc_id": pa.array(np.frombuffer(r["docs"], "<i8")), "n_words": pa.array(np.frombuffer(r["sizes"], "<u4").astype(np.int64)), "s": pa.array(np.frombuffer(r["keys"], "<f8"))})
                     continue
@@ -235,15 +246,21 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield from close()
                     held.clear()
                     at = r["part"], r["k"]
-                held.append(r)
+                held.append({c: bytes(v) if isinstance(v, pa.Buffer) else v for c, v in r.items()})  # a copy, so that the batch can go
         yield from close()
 
-    shipped = rows.mapInArrow(trimmed(ship), "part int, k int, docs binary, sizes binary, weights binary, keys binary")
+    shipped = rows.mapInArrow(trimmed(ship), "part int, k int, docs binary, sizes binary, weights binary, keys binary, counts binary")
     deal = F.when(F.col("part") < 0, F.xxhash64("docs")).otherwise(F.col("part"))
-    sums = shipped.repartition(deal).sortWithinPartitions("part", "k").mapInArrow(trimmed(join), "doc_id long, n_words long, s double")
+    sums = shipped.repartition(parts, deal).sortWithinPartitions("part", "k").mapInArrow(trimmed(join), "doc_id long, n_words long, s double")
     return sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
 
 
+def _short(keys: np.ndarray, parts: int) -> bytes:
+    """The keys without the partition that they name, in KEY_BYTES bytes each."""
+    rest = (keys // np.uint64(parts)) & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    return np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
 def _by_order(rows: list) -> dict[int, list]:
     out: dict[int, list] = {}
     for r in rows:
