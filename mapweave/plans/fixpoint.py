@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROUNDS = 1000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir (a temporary folder where that is unset) and cut from its lineage."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mapweave-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mapweave-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and cut from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

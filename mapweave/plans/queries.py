@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mapweave.functions.geo import Box, Region, cell, degrees
-from mapweave.functions.tags import matches
+from mapweave.functions.tags import matches, parse_lines
 from mapweave.operators import changes as ch
 from mapweave.operators import diff as df_
 from mapweave.operators import export as ex
@@ -23,6 +25,9 @@ from mapweave.operators import inspect as ins
 from mapweave.operators import locations as lc
 from mapweave.operators import ordering as od
 
+from mapweave.sources import osc, pbf
+
+from .fixpoint import shared_folder
 from .views import Graph, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +49,11 @@ def has(cond: str, kind: str = "n", e: str = "e.id") -> str:
     return f"EXISTS (SELECT 1 FROM elem_tags t WHERE t.kind='{kind}' AND t.id={e} AND ({cond}))"
 
 
+def _zero(column: str) -> Column:
+    """The column with 0 for null, so that results have no null numbers."""
+    return F.coalesce(F.col(column), F.lit(0)).alias(column)
+
+
 BOX = Box.of("-30,-20,30,20")
 IN_BOX = "lat_e7 BETWEEN -200000000 AND 200000000 AND lon_e7 BETWEEN -300000000 AND 300000000"
 
@@ -342,11 +352,11 @@ def _(g):
     return lc.located_refs(g.dataset).select("way_id", "pos", "node_id", "lat_e7", "lon_e7")
 
 
-@query("add_locations_ways", "SELECT e.id, CAST(count(r.pos) AS INT) AS n, CAST(sum(coalesce(lat_e7,0)::BIGINT*(pos+1)) AS BIGINT) AS checksum FROM ways e LEFT JOIN way_refs r ON r.way_id=e.id LEFT JOIN nodes ON nodes.id=node_id GROUP BY e.id")
+@query("add_locations_ways", "SELECT e.id, CAST(count(r.pos) AS INT) AS n, CAST(coalesce(sum(coalesce(lat_e7,0)::BIGINT*(pos+1)),0) AS BIGINT) AS checksum FROM ways e LEFT JOIN way_refs r ON r.way_id=e.id LEFT JOIN nodes ON nodes.id=node_id GROUP BY e.id")
 def _(g):
     got = lc.add_locations(g.dataset)
     total = F.aggregate(F.transform("locations", lambda p, i: p["lat_e7"].cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return got.select("id", F.coalesce(F.size("locations"), F.lit(0)).alias("n"), total.alias("checksum"))
+    return got.select("id", F.coalesce(F.size("locations"), F.lit(0)).alias("n"), F.coalesce(total, F.lit(0)).alias("checksum"))
 
 
 @query("add_locations_node_drop", "SELECT id FROM nodes e WHERE EXISTS (SELECT 1 FROM elem_tags t WHERE t.kind='n' AND t.id=e.id) OR id IN (SELECT ref FROM rel_members WHERE mtype='n')")
@@ -386,9 +396,9 @@ def _(g):
     return df_.summary(df_.diff(g.nodes, new_nodes(g), "n"))
 
 
-@query("derive_changes", "SELECT id, CASE status WHEN 'created' THEN 'create' WHEN 'modified' THEN 'modify' ELSE 'delete' END AS action, lat_e7, lon_e7 FROM d WHERE status<>'common'", NEW)
+@query("derive_changes", "SELECT id, CASE status WHEN 'created' THEN 'create' WHEN 'modified' THEN 'modify' ELSE 'delete' END AS action, coalesce(lat_e7,0) AS lat_e7, coalesce(lon_e7,0) AS lon_e7 FROM d WHERE status<>'common'", NEW)
 def _(g):
-    return df_.derive_changes(g.nodes, new_nodes(g), "n").select("id", "action", "lat_e7", "lon_e7")
+    return df_.derive_changes(g.nodes, new_nodes(g), "n").select("id", "action", _zero("lat_e7"), _zero("lon_e7"))
 
 
 LAST = "lastc AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY kind,id ORDER BY seq DESC)=1)"
@@ -663,9 +673,9 @@ def _blocked(g: Graph) -> DataFrame:
     return od.blocks(rows[0].unionByName(rows[1]).unionByName(rows[2]), 500)
 
 
-@query("block_index_agg", "SELECT * FROM bi", _INDEX)
+@query("block_index_agg", "SELECT * REPLACE (coalesce(min_lat,0) AS min_lat, coalesce(max_lat,0) AS max_lat, coalesce(min_lon,0) AS min_lon, coalesce(max_lon,0) AS max_lon) FROM bi", _INDEX)
 def _(g):
-    return ins.block_index(_blocked(g))
+    return ins.block_index(_blocked(g)).select("kind", "block", "n", "min_id", "max_id", *map(_zero, ("min_lat", "max_lat", "min_lon", "max_lon")))
 
 
 @query("inspect_blocks", "SELECT kind, count(*) AS n_blocks, sum(n)::BIGINT AS n, min(n) AS least, max(n) AS most FROM bi GROUP BY kind", _INDEX)
@@ -836,3 +846,197 @@ def _(g):
     ways = lc.add_locations(g.dataset).where("id % 11 = 0 and locations is not null")
     tagged = ways.withColumn("tags", F.concat("tags", F.array(F.struct(F.lit("addr:housenumber").alias("k"), F.lit("1").alias("v")), F.struct(F.lit("addr:street").alias("k"), F.lit("s").alias("v")))))
     return gc.addresses(g.dataset, tagged).where("source = 'w'").select("id", "lat_e7", "lon_e7")
+
+
+# -- files
+
+
+def _path(g: Graph) -> str:
+    return f"{shared_folder(g.spark)}/files-{uuid.uuid4().hex}"
+
+
+def _as_elements(g: Graph) -> DataFrame:
+    """Every twentieth element with whole content, in the schema of files."""
+    n = g.nested
+    return pbf.elements_of(replace(n, nodes=n.nodes.where("id % 20 = 0"), ways=n.ways.where("id % 20 = 0"), relations=n.relations.where("id % 20 = 0")))
+
+
+def _written(g: Graph, compression: str = "zlib") -> str:
+    path = _path(g)
+    pbf.write_pbf(_as_elements(g).coalesce(2), path, compression)
+    return path
+
+
+_FILE_ROWS = """SELECT e.kind, e.id, coalesce(n.lat_e7,0) AS lat_e7, coalesce(n.lon_e7,0) AS lon_e7, CAST((SELECT count(*) FROM elem_tags t WHERE t.kind=e.kind AND t.id=e.id) AS INT) AS n_tags,
+CAST(CASE e.kind WHEN 'w' THEN (SELECT count(*) FROM way_refs r WHERE r.way_id=e.id) WHEN 'r' THEN (SELECT count(*) FROM rel_members m WHERE m.rel_id=e.id) ELSE 0 END AS INT) AS n_parts
+FROM elements e LEFT JOIN nodes n ON e.kind='n' AND n.id=e.id WHERE e.id%20=0"""
+
+
+def _file_rows(df: DataFrame) -> DataFrame:
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
+    return df.select("kind", "id", _zero("lat_e7"), _zero("lon_e7"), F.size("tags").alias("n_tags"), (size("refs") + size("members")).alias("n_parts"))
+
+
+for _name, _compression in (("write_pbf", "zlib"), ("decode_wire", "none"), ("decode_blob", "zstd"), ("write_compression", "zstd")):
+    query(_name, _FILE_ROWS)(lambda g, c=_compression: _file_rows(pbf.read_elements(g.spark, _written(g, c))))
+
+
+@query("scan_blob", "SELECT way_id AS id, pos, node_id FROM way_refs WHERE way_id%20=0")
+def _(g):
+    return pbf.read_dataset(g.spark, _written(g)).way_refs.select(F.col("way_id").alias("id"), "pos", "node_id")
+
+
+@query("scan_blocks", "SELECT m.rel_id, m.mtype, m.ref, m.role FROM rel_members m WHERE m.rel_id%20=0")
+def _(g):
+    return pbf.read_dataset(g.spark, _written(g)).rel_members.select("rel_id", "mtype", "ref", "role")
+
+
+@query("write_header", "SELECT 'Sort.Type_then_ID' AS optional, true AS some_blobs")
+def _(g):
+    path = _written(g)
+    return g.spark.createDataFrame([(",".join(pbf.read_header(path).optional), pbf.estimate_blobs(path) > 0)], "optional string, some_blobs boolean")
+
+
+@query("scan_header_walk")
+def _(g):
+    """How many data blobs a written file has, by its headers."""
+    return g.spark.createDataFrame([(pbf.estimate_blobs(_written(g)),)], "blobs int")
+
+
+@query("inspect_indexed", "SELECT true AS sorted")
+def _(g):
+    return g.spark.createDataFrame([("Sort.Type_then_ID" in pbf.read_header(_written(g)).optional,)], "sorted boolean")
+
+
+_CHANGE_ROWS = "SELECT action, id, CASE WHEN action='delete' THEN 0 ELSE lat_e7 END AS lat_e7, CASE WHEN action='delete' THEN 0 ELSE lon_e7 END AS lon_e7 FROM changes"
+
+
+def _change_file(g: Graph) -> str:
+    path = _path(g)
+    blank = lambda c: F.when(F.col("action") != "delete", F.col(c)).alias(c)
+    osc.write_changes(g.changes.select("seq", "action", "kind", "id", blank("lat_e7"), blank("lon_e7")), path)
+    return path
+
+
+for _name in ("write_osc", "scan_osc", "scan_osc_dir"):
+    query(_name, _CHANGE_ROWS)(lambda g: osc.read_changes(g.spark, _change_file(g)).select("action", "id", _zero("lat_e7"), _zero("lon_e7")))
+
+
+@query("write_geojson", "SELECT DISTINCT id FROM elem_tags WHERE kind='n'")
+def _(g):
+    path = _path(g)
+    none = lc.add_locations(g.dataset).limit(0).withColumn("refs", F.lit(None).cast("array<bigint>"))
+    ex.write_geojson_lines(ex.features(g.nodes, none), path)
+    return g.spark.read.text(path).select(F.regexp_extract("value", '"@id":(\\d+)', 1).cast("bigint").alias("id"))
+
+
+@query("write_json_report", """SELECT '{"kind":"' || kind || '","n":' || CAST(count(*) AS VARCHAR) || '}' AS report FROM elements GROUP BY kind""")
+def _(g):
+    return ins.counts(g.dataset).select(F.to_json(F.struct("kind", "n")).alias("report"))
+
+
+@query("get_value", "SELECT count(*) AS n FROM ways")
+def _(g):
+    report = ins.counts(g.dataset).groupBy().pivot("kind", ["n", "w", "r"]).agg(F.first("n"))
+    return report.select(ins.get_value(report, "w").alias("n"))
+
+
+@query("scan_geojson_region", f"SELECT id FROM nodes WHERE {parity(RING)} AND NOT ({parity(HOLE)})")
+def _(g):
+    return g.nodes.where(xt.parse_geojson(json.dumps({"type": "Polygon", "coordinates": [RING, HOLE]})).contains()).select("id")
+
+
+@query("scan_extract_config", f"SELECT 'a' AS output, id FROM nodes WHERE {IN_BOX} UNION ALL SELECT 'b', id FROM nodes WHERE {parity(RING)}")
+def _(g):
+    regions = xt.parse_config(json.dumps({"extracts": [{"output": "a", "bbox": [-30, -20, 30, 20]}, {"output": "b", "polygon": {"type": "Polygon", "coordinates": [RING]}}]}))
+    a, b = (g.nodes.where(r.contains()).select(F.lit(name).alias("output"), "id") for name, r in regions.items())
+    return a.unionAll(b)
+
+
+@query("scan_expressions", f"SELECT e.id FROM nodes e WHERE {has('''(t.k='size' AND t.v='7') OR t.k LIKE 'addr:%' ''')}")
+def _(g):
+    return g.nodes.where(matches(parse_lines("# sizes\nn/size=7\naddr:* # places\n"), "n")).select("id")
+
+
+@query("project_strip_locations", "SELECT id FROM ways")
+def _(g):
+    return lc.add_locations(g.dataset).drop("locations", "n_missing").select("id")
+
+
+@query("degrade_strip", "SELECT kind, id FROM elements WHERE id%20=0")
+def _(g):
+    return pbf.read_elements(g.spark, _written(g, "none")).drop("locations").select("kind", "id")
+
+
+# -- more of geocoding
+
+
+@query("reverse_candidates", f"SELECT q, id, number, round(sqrt(d2)*6371000,3) AS metres FROM (SELECT *, {_d2()} AS d2 FROM qp, addr WHERE abs(lat_e7::BIGINT-qlat)<40000000) WHERE sqrt(d2)*6371000<{RADIUS}", _QP + ", " + _ADDR)
+def _(g):
+    none = gc.segments(gc.streets(lc.add_locations(g.dataset).limit(0)), "id", "street")
+    marks = none.withColumns({"path": F.lit(None).cast("array<struct<lat_e7:int,lon_e7:int>>"), "start_number": F.lit(0), "end_number": F.lit(0), "itype": F.lit(0)})
+    return gc.candidates(points(g), addrs(g), none, marks, RADIUS).select("q", "id", "number", F.round("metres", 3).alias("metres"))
+
+
+def _interp_ways(g: Graph) -> DataFrame:
+    """Of each street a way from its first address to its last, as an interpolation way."""
+    a = addrs(g).groupBy("street").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    place = addrs(g).select("id", F.struct("lat_e7", "lon_e7").alias("p"))
+    rows = a.join(place.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(place.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
+    tags = F.array(F.struct(F.lit("addr:interpolation").alias("k"), F.lit("even").alias("v")), F.struct(F.lit("addr:street").alias("k"), F.col("street").alias("v")))
+    return rows.select(F.col("a").alias("id"), tags.alias("tags"), F.array("pa", "pb").alias("locations"))
+
+
+_ENDS = _ADDR + ", ends AS (SELECT street, min(id) AS a, max(id) AS b FROM addr GROUP BY street HAVING min(id)<max(id))"
+
+
+@query("geo_interp_extract", "SELECT a AS id, street, 1 AS itype FROM ends", _ENDS)
+def _(g):
+    return gc.interpolations(_interp_ways(g)).select("id", "street", "itype")
+
+
+for _name in ("geo_interp_resolve", "interp_endpoint"):
+    @query(_name, "SELECT a AS id, (SELECT CAST(number AS BIGINT) FROM addr WHERE addr.id=ends.a) AS start_number, (SELECT CAST(number AS BIGINT) FROM addr WHERE addr.id=ends.b) AS end_number FROM ends", _ENDS)
+    def _(g):
+        return gc.interp_endpoints(gc.interpolations(_interp_ways(g)), addrs(g))
+
+
+def _squares(g: Graph):
+    """A square of two open ways around each query point whose id is a multiple of ten, as an administrative relation."""
+    c = points(g).where("q % 10 = 0 and abs(qlat) < 800000000 and abs(qlon) < 1700000000")
+    at = lambda dy, dx: F.struct((F.col("qlat") + dy).cast("int").alias("lat_e7"), (F.col("qlon") + dx).cast("int").alias("lon_e7"))
+    s = 20_000_000
+    a = c.select((F.col("q") * 2).alias("id"), F.array(at(-s, -s), at(-s, s), at(s, s)).alias("locations"))
+    b = c.select((F.col("q") * 2 + 1).alias("id"), F.array(at(s, s), at(s, -s), at(-s, -s)).alias("locations"))
+    tag = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    rels = c.select(F.col("q").alias("id"), F.array(tag("boundary", F.lit("administrative")), tag("admin_level", F.lit("4")), tag("name", F.concat(F.lit("area "), F.col("q").cast("string")))).alias("tags"))
+    members = c.select(F.col("q").alias("rel_id"), F.explode(F.array(F.col("q") * 2, F.col("q") * 2 + 1)).alias("ref")).select("rel_id", F.col("ref").cast("int").alias("pos"), F.lit("w").alias("mtype"), "ref", F.lit("outer").alias("role"))
+    return replace(g.dataset, relations=rels, members=members), a.unionAll(b)
+
+
+_SQ = _QP + ", sq AS (SELECT q, qlat, qlon FROM qp WHERE q%10=0 AND abs(qlat)<800000000 AND abs(qlon)<1700000000)"
+
+
+@query("geo_admin_assemble", "SELECT q AS id, 4 AS level, 'area ' || CAST(q AS VARCHAR) AS name, CAST(qlat-20000000 AS INT) AS min_lat, CAST(qlon+20000000 AS INT) AS max_lon FROM sq", _SQ)
+def _(g):
+    ds, located = _squares(g)
+    return gc.admin_polygons(ds, located).select("id", "level", "name", "min_lat", "max_lon")
+
+
+@query("geocode_admin", "SELECT p.q, 4 AS level, 'area ' || CAST(min(sq.q) AS VARCHAR) AS name FROM qp p JOIN sq ON abs(p.qlat::BIGINT-sq.qlat)<20000000 AND abs(p.qlon::BIGINT-sq.qlon)<20000000 GROUP BY p.q", _SQ)
+def _(g):
+    ds, located = _squares(g)
+    return gc.admin_lookup(points(g), gc.admin_polygons(ds, located)).select("q", "level", "name")
+
+
+# -- statistics of operators
+
+
+@query("filter_stats", f"SELECT kind, count(*) AS n FROM (SELECT 'n' AS kind, e.id FROM nodes e WHERE {has('''t.k='size' AND t.v='7' ''')} UNION ALL SELECT 'w', e.id FROM ways e WHERE {has('''t.k='name' ''', 'w')}) GROUP BY kind")
+def _(g):
+    return ins.matched_counts(g.dataset, ["n/size=7", "w/name"]).where("n > 0")
+
+
+@query("derive_stats", "SELECT CASE status WHEN 'created' THEN 'create' WHEN 'modified' THEN 'modify' ELSE 'delete' END AS action, count(*) AS n FROM d WHERE status<>'common' GROUP BY 1", NEW)
+def _(g):
+    return df_.derive_changes(g.nodes, new_nodes(g), "n").groupBy("action").agg(F.count("*").alias("n"))

@@ -26,6 +26,8 @@ PARTITION_BYTES = 32 * 1024 * 1024
 def _store(path: str):
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
