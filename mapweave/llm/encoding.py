@@ -17,7 +17,7 @@ from operator import is_
 from tokenizers import Tokenizer
 
 #: Parts that the table of a worker process keeps; later ones are encoded each time they come.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 500_000
 #: Longer parts are not kept.
 CACHE_CHARS = 64
 #: Parts handed to the library at once.
@@ -61,6 +61,7 @@ class PartEncoder:
         self.glues_space = not self.drops_space and '"ByteLevel"' in pre and '"add_prefix_space":false' in pre and '"use_regex":true' in pre
         self.known: dict[str, bytes] = {"": b""}
         self.model = self.tokenizer.model
+        self.lead = "\u0120" if self.glues_space else ""
         self.marks = dict(zip(["", *MARKS, "\n"], [b"", *self._ids([*MARKS, "\n"])], strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -82,22 +83,29 @@ class PartEncoder:
         """Ids of a part that is one run of Latin letters, with a mark after it or not; None for any other part.
 
         Such a run is one word to both pre-tokenisers and stays as it is under NFC, so the library's model takes it as it is.
+        A run that is known without its mark, or in lower case where case doesn't matter, isn't encoded again.
         """
         tail = part[-1] if part[-1] in MARKS else ""
-        core = part[:-1] if tail else part
-        lead, before = ("\u0120", "") if self.glues_space else ("", "")
-        if self.glues_space and part[0] == "\n":
-            core, lead, before = core[1:], "", "\n"
+        word = part[:-1] if tail else part
         if self.drops_space:
-            core = core.lower()
-        if not core.isalpha():
-            return None
-        if not core.isascii():
-            if max(core) >= LATIN_END:
+            word = word.lower()
+        ids = self.known.get(word) if word is not part else None
+        if ids is None:
+            core, lead, before = word, self.lead, ""
+            if lead and word[:1] == "\n":
+                core, lead, before = word[1:], "", "\n"
+            if not core.isalpha():
                 return None
-            core = core.encode().decode("latin-1").translate(BYTE_LEVEL)
-        ids = little_endian([t.id for t in self.model.tokenize(lead + core)])
-        return self.marks[before] + ids + self.marks[tail] if before or tail else ids
+            if not core.isascii():
+                if max(core) >= LATIN_END:
+                    return None
+                core = core.encode().decode("latin-1").translate(BYTE_LEVEL)
+            ids = little_endian([t.id for t in self.model.tokenize(lead + core)])
+            if before:
+                ids = self.marks[before] + ids
+        elif not word:
+            return None
+        return ids + self.marks[tail] if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; what comes anew is encoded together."""
