@@ -199,9 +199,9 @@ def find_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row of a larger doc_id has; all other columns stay. Rows that share both doc_id and text all stay or all go."""
-    gone = find_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
-    return own.join(gone, ["_id", "_sha"], "left_anti").drop("_id", "_sha")
+    gone = find_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct()
+    own = docs.withColumns({"__dedup_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__dedup_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
+    return own.join(gone, ["__dedup_id", "__dedup_sha"], "left_anti").drop("__dedup_id", "__dedup_sha")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

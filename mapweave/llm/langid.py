@@ -150,13 +150,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = m.score([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    out = docs.withColumn("_p", run(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    out = docs.withColumn("__prediction", run(F.col(text)))
+    return out.withColumns({"lang_pred": F.col("__prediction.lang_pred"), "score": F.col("__prediction.score")}).drop("__prediction")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of ``documents``: held_out by its doc_id, and the language that its text shows."""
+    """Every document of ``documents``: held_out by its doc_id (one without is held out), and the language that its text shows."""
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
-    model = train(docs.where(~F.coalesce(held_out, F.lit(True))), "text", "lang", "doc_id")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
+    model = train(docs.where(~held_out), "text", "lang", "doc_id")
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")

@@ -60,8 +60,8 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None
             keys = ids.fillna(0).to_numpy(np.int64)
             yield pd.DataFrame({"shard": jump_hash(keys, shards).astype(np.int32), "grown_shard": jump_hash(keys, grown).astype(np.int32)})
 
-    placed = df.withColumn("_place", place(F.col(key).cast("long")))
-    return placed.withColumns({"shard": F.col("_place.shard"), "grown_shard": F.col("_place.grown_shard")}).drop("_place")
+    placed = df.withColumn("__slot_place", place(F.col(key).cast("long")))
+    return placed.withColumns({"shard": F.col("__slot_place.shard"), "grown_shard": F.col("__slot_place.grown_shard")}).drop("__slot_place")
 
 
 def number_slots(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
@@ -78,13 +78,13 @@ def number_slots(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.asarray(cuts, np.float64), ids.fillna(0).to_numpy(np.float64), side="left").astype(np.int32))
 
-    ranged = df.withColumn("_range", range_of(F.col(key)) if cuts else F.lit(0))
-    sizes = ranged.groupBy("shard", "_range").count()
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_range").orderBy(key, *ties)
-    ranked = ranged.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(F.broadcast(offsets), ["shard", "_range"]).withColumn("slot", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", "_range")
+    ranged = df.withColumn("__slot_range", range_of(F.col(key)) if cuts else F.lit(0))
+    sizes = ranged.groupBy("shard", "__slot_range").count()
+    before = Window.partitionBy("shard").orderBy("__slot_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "__slot_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__slot_before"))
+    inside = Window.partitionBy("shard", "__slot_range").orderBy(key, *ties)
+    ranked = ranged.withColumn("__slot_rank", F.row_number().over(inside))
+    return ranked.join(F.broadcast(offsets), ["shard", "__slot_range"]).withColumn("slot", F.col("__slot_before") + F.col("__slot_rank") - 1).drop("__slot_before", "__slot_rank", "__slot_range")
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
