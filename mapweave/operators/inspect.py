@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mapweave.functions.tags import Expression, matches, parse
-from mapweave.model import Dataset, id_key
+from mapweave.model import Dataset
+from mapweave.operators.ordering import canonical, numbered, with_previous
 
 #: Values in a frame of the coordinate statistics, and upper bounds of its classes of bit widths (fixed values).
 FRAME = 128
@@ -43,8 +44,7 @@ def counts(ds: Dataset) -> DataFrame:
 
 def id_ranges(rows: DataFrame) -> DataFrame:
     """(kind, n, min_id, max_id, monotonic) from rows (kind, pos, id) in file order."""
-    prev = F.lag("id").over(Window.partitionBy("kind").orderBy("pos"))
-    return rows.withColumn("_p", prev).groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.bool_and(F.coalesce(F.col("id") > F.col("_p"), F.lit(True))).alias("monotonic"))
+    return with_previous(rows).withColumnRenamed("prev", "_p").groupBy("kind").agg(F.count("*").alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.bool_and(F.coalesce(F.col("id") > F.col("_p"), F.lit(True))).alias("monotonic"))
 
 
 def extended(rows: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ def bits_needed(span: Column) -> Column:
 
 def node_stats(nodes: DataFrame) -> DataFrame:
     """(axis, width_class, n_frames, sum_bits): how many bits the coordinates of FRAME nodes in id order need over their least one."""
-    place = F.row_number().over(Window.orderBy(*id_key())) - 1
-    frames = nodes.select("lat_e7", "lon_e7", F.floor(place / F.lit(float(FRAME))).alias("frame")).groupBy("frame").agg(*[(F.max(c).cast("bigint") - F.min(c).cast("bigint")).alias(c) for c in ("lat_e7", "lon_e7")])
+    placed = numbered(nodes.select("id", "lat_e7", "lon_e7", F.lit(0).alias("_all")), ["_all"], canonical())
+    frames = placed.select("lat_e7", "lon_e7", F.floor(F.col("place") / F.lit(float(FRAME))).alias("frame")).groupBy("frame").agg(*[(F.max(c).cast("bigint") - F.min(c).cast("bigint")).alias(c) for c in ("lat_e7", "lon_e7")])
     long = frames.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), bits_needed(F.col(c)).alias("bits")) for a, c in (("lat", "lat_e7"), ("lon", "lon_e7"))])).alias("s")).select("s.*")
     group = F.lit(len(WIDTHS) - 1)
     for k in range(len(WIDTHS) - 2, -1, -1):

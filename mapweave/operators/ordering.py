@@ -27,20 +27,48 @@ def sort_elements(df: DataFrame) -> DataFrame:
     return df.orderBy(kind_rank(), *id_key(), F.col("version").asc_nulls_first()) if "version" in df.columns else df.orderBy(kind_rank(), *id_key())
 
 
+def numbered(df: DataFrame, by: list[str], key: Column, parts: int = 64) -> DataFrame:
+    """Adds ``place``: each row's number from 0 in its group ``by``, in the order of the integer ``key`` (unique in a group).
+
+    Rows are numbered in ranges of the key and the sizes of a group's earlier ranges added, so no task sees a whole
+    group. Ranges are cut at approximate quantiles, which only balance the work.
+    """
+    rows = df.withColumn("_key", key)
+    cuts = sorted(set(rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
+    ranged = rows.withColumn("_part", F.size(F.filter(bounds, lambda c: F.col("_key").cast("double") > c)) if cuts else F.lit(0))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_part").count().select(*by, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key")))
+    return ranked.join(offsets, [*by, "_part"]).withColumn("place", F.col("_before") + F.col("_rank") - 1).drop("_key", "_part", "_before", "_rank")
+
+
+def canonical(column: str = "id") -> Column:
+    """One number that sorts ids canonically: 0, -1, -2, ... before 1, 2, ... (ids below 2^62 in size)."""
+    c = F.col(column)
+    return F.when(c > 0, c).otherwise(F.lit(-(1 << 62)) - c)
+
+
 def rank_by_id(ids: DataFrame, start: int = 0, parts: int = 64) -> DataFrame:
-    """(id, new_id): ``start`` plus the rank of each id in ascending order.
+    """(id, new_id): ``start`` plus the rank of each id in ascending order."""
+    ranked = numbered(ids.select("id", F.lit(0).alias("_all")).distinct(), ["_all"], F.col("id"), parts)
+    return ranked.select("id", (F.col("place") + start).alias("new_id"))
+
+
+#: Places that one task compares at once.
+STRETCH = 1_000_000
+
+
+def with_previous(df: DataFrame) -> DataFrame:
+    """Adds ``prev``: the id one place before in the kind's file order (column ``pos``).
 
-    Ranks inside ranges of ids plus the sizes of earlier ranges; ranges are cut at approximate quantiles, of which there are ``parts`` at most.
+    Inside a stretch of places by a window; the first of a stretch takes the last id of the kind's stretch before.
     """
-    ids = ids.select("id").distinct()
-    cuts = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts_col = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    part = F.size(F.filter(cuts_col, lambda c: F.col("id") > c)) if cuts else F.lit(0)
-    ranged = ids.withColumn("_part", part)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("id")))
-    return ranked.join(F.broadcast(offsets), "_part").select("id", (F.col("_before") + F.col("_rank") - 1 + start).alias("new_id"))
+    rows = df.withColumn("_stretch", F.floor(F.col("pos") / F.lit(float(STRETCH))))
+    ends = rows.groupBy("kind", "_stretch").agg(F.max_by("id", "pos").alias("_last"))
+    ends = ends.select("kind", "_stretch", F.lag("_last").over(Window.partitionBy("kind").orderBy("_stretch")).alias("_last"))
+    inside = rows.withColumn("_prev", F.lag("id").over(Window.partitionBy("kind", "_stretch").orderBy("pos")))
+    return inside.join(ends, ["kind", "_stretch"]).withColumn("prev", F.coalesce("_prev", "_last")).drop("_stretch", "_prev", "_last")
 
 
 def renumber(ds: Dataset, start: tuple[int, int, int] = (1, 1, 1)) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
@@ -75,22 +103,20 @@ def cat(files: list[DataFrame], kinds: str = "nwr") -> DataFrame:
 
 def blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
     """Adds ``block``: each kind's elements in canonical id order, ``size`` to a block. Physical files bound rows by ``maxRecordsPerFile`` instead."""
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(*id_key())) - 1
-    return df.withColumn("block", F.floor(place / F.lit(float(size))).cast("bigint"))
+    return numbered(df, ["kind"], canonical()).withColumn("block", F.floor(F.col("place") / F.lit(float(size))).cast("bigint")).drop("place")
 
 
 def unsort(df: DataFrame, at: int = 1) -> DataFrame:
-    """(kind, id, place) in file order with elements number ``at`` and ``at`` + 1 of each kind exchanged."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy(*id_key()))
-    size = F.count("*").over(Window.partitionBy("kind"))
-    place = F.when((F.col("_n") == at) & (F.col("_size") > at), at + 1).when(F.col("_n") == at + 1, at).otherwise(F.col("_n"))
-    return df.withColumns({"_n": n, "_size": size}).withColumn("place", place.cast("bigint")).drop("_n", "_size")
+    """(kind, id, place) in file order with elements number ``at`` and ``at`` + 1 of each kind exchanged, where both exist."""
+    rows = numbered(df, ["kind"], canonical()).withColumn("place", F.col("place") + 1)
+    sizes = df.groupBy("kind").agg(F.count("*").alias("_size"))
+    swapped = F.when((F.col("place") == at) & (F.col("_size") > at), at + 1).when(F.col("place") == at + 1, at).otherwise(F.col("place"))
+    return rows.join(F.broadcast(sizes), "kind").withColumn("place", swapped.cast("bigint")).drop("_size")  # a row a kind
 
 
 def check_ids(df: DataFrame, max_errors: int = 0) -> DataFrame:
     """(kind, pos, id, prev) where an id isn't above the one before it in its kind's file order (column ``pos``); 0 is no limit."""
-    prev = F.lag("id").over(Window.partitionBy("kind").orderBy("pos"))
-    bad = df.select("kind", "pos", "id", prev.alias("prev")).where("id <= prev")
+    bad = with_previous(df).select("kind", "pos", "id", "prev").where("id <= prev")
     return bad.orderBy("kind", "pos").limit(max_errors) if max_errors else bad
 
 

@@ -467,13 +467,10 @@ def _(g):
 
 @query("sort", "SELECT kind, id, row_number() OVER (ORDER BY CASE kind WHEN 'n' THEN 0 WHEN 'w' THEN 1 ELSE 2 END, id)-1 AS place FROM elements")
 def _(g):
-    ranks = [(k, od.rank_by_id(df)) for k, df in g.dataset.by_kind().items()]
-    base, out = None, []
-    for k, r in ranks:
-        row = r.select(F.lit(k).alias("kind"), "id", F.col("new_id").alias("place"))
-        out.append(row if base is None else row.crossJoin(F.broadcast(base)).select("kind", "id", (F.col("place") + F.col("n")).alias("place")))
-        size = g.dataset.by_kind()[k].agg(F.count("*").alias("n"))
-        base = size if base is None else base.unionAll(size).agg(F.sum("n").alias("n"))
+    base, out = 0, []
+    for k, df in g.dataset.by_kind().items():
+        out.append(od.rank_by_id(df, base).select(F.lit(k).alias("kind"), "id", F.col("new_id").alias("place")))
+        base += df.count()
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 

@@ -291,3 +291,14 @@ def test_cleaning(spark):
 def test_degrees_as_text(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v int").select("v", geo.degrees("v").alias("s"))
     assert all(float(r["s"]) == pytest.approx(r["v"] / 1e7, abs=1e-9) and not r["s"].endswith((".", "0.0")) for r in df.collect())
+
+
+def test_places_and_stretches(spark, monkeypatch):
+    ids_ = [5, -3, 0, -1, 2, 9, -7, 40, 41, 42]
+    df = spark.createDataFrame([("n", i) for i in ids_] + [("w", 1)], "kind string, id bigint")
+    want = {i: k for k, i in enumerate(sorted(ids_, key=lambda i: (2, i) if i > 0 else (1, -i) if i else (0, 0)))}
+    assert {r["id"]: r["place"] for r in ordering.numbered(df, ["kind"], ordering.canonical()).where("kind = 'n'").collect()} == want
+    monkeypatch.setattr(ordering, "STRETCH", 3)
+    rows = spark.createDataFrame([("n", p, i) for p, i in enumerate(ids_)], "kind string, pos bigint, id bigint")
+    got_ = {r["pos"]: r["prev"] for r in ordering.with_previous(rows).collect()}
+    assert got_ == {p: ids_[p - 1] if p else None for p in range(len(ids_))}
