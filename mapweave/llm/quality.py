@@ -18,12 +18,12 @@ from .common import documents, stage, unstage
 SPACE = r"[ \t\n\x0B\f\r]+"
 WINDOW = 8
 #: Transformed statistics, each with the least standard deviation that an estimate may have.
-STATISTICS = {"x_length": 0.10, "x_symbols": 0.04, "x_upper": 0.06, "x_marks": 0.06, "x_twice": 0.08, "x_lines": 0.15, "x_repeats": 0.15}
+STATISTICS = {"x_symbols": 0.04, "x_upper": 0.06, "x_marks": 0.06, "x_twice": 0.08, "x_lines": 0.15, "x_repeats": 0.15}
 #: Share of a group that an estimate rests on.
 CORE = 0.75
-STEPS = 4
-#: Quantiles of chi-square with one degree for each statistic (seven): the median, and 1 - 1e-7.
-CHI2_MEDIAN, CHI2_CUT = 6.346, 44.0
+STEPS = 3
+#: Quantiles of chi-square with one degree for each statistic (six): the median, and 1 - 1e-7.
+CHI2_MEDIAN, CHI2_CUT = 5.348, 43.0
 #: Groups with fewer usable rows, and those after the MAX_GROUPS largest, share the estimate of their language's rest or, if that is small too, of all such rows.
 MIN_GROUP, MAX_GROUPS = 200, 10_000
 #: The percentile sketch's accuracy.
@@ -66,11 +66,11 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _transformed(df: DataFrame) -> DataFrame:
-    """The statistics, on scales where clean text is near normal: logarithms of sizes, roots of shares."""
+    """The statistics: roots of shares, which are near normal for clean text."""
     chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     share = lambda a, b: F.sqrt(F.least(F.col(a) / b, F.lit(1.0)))
     return df.withColumns({
-        "x_length": F.log(chars / words), "x_symbols": share("n_symbols", chars), "x_upper": share("_upper", chars), "x_marks": share("_marks", chars),
+        "x_symbols": share("n_symbols", chars), "x_upper": share("_upper", chars), "x_marks": share("_marks", chars),
         "x_twice": share("_twice", words), "x_lines": share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), "x_repeats": share("n_repeat_words", words),
     })
 
