@@ -4,8 +4,8 @@
 order by order, and what a table lacks backs off. ``score_corpus`` scores a corpus by its own counts. There every n-gram
 is in its table, so no term backs off and the logarithm of a document's score is a sum of log counts: of its n-grams, less
 those of the contexts. That join runs on packed rows: each batch of documents ships its n-grams' keys to the
-partition their hash names, which counts all keys it gets, joins the counts back to the rows it holds, and returns one
-partial sum a document and batch. Keys that are frequent in the whole corpus are found first and counted apart, so no
+partition their hash names, which counts all keys it gets, joins the counts back to the rows it holds, and returns each
+batch one partial sum a document. Keys that are frequent in the whole corpus are found first and counted apart, so no
 partition is hot.
 """
 
@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,15 @@ from .common import documents, on_workers, trimmed
 ORDER = 3
 BACKOFF = 0.4
 #: n-grams that a partition holds, about; and partitions at least.
-PARTITION_GRAMS = 4_000_000
+PARTITION_GRAMS = 6_000_000
 MIN_PARTITIONS = 48
 #: Keys with over 1/HOT_SHARE of all n-grams of their order are counted apart; there are fewer than 2 x HOT_SHARE an order.
 HOT_SHARE = 4096
-#: Bytes of a key inside its partition. Two of PARTITION_GRAMS keys are mixed up with a chance of 4e-6 a key at any corpus size, as partitions grow in number, not size.
+#: Bytes of a key inside its partition. Two of PARTITION_GRAMS keys are mixed up with a chance of 6e-6 a key at any corpus size, as partitions grow in number, not size.
 KEY_BYTES = 5
+SHIPPED = ("part", "k", "batch", "steps", "weights", "keys", "counts")
+#: Documents of a batch at most; their places in it are 16 bits wide.
+BATCH_DOCS = 30_000
 BATCH_BYTES = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -87,7 +91,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         k = 0
         while k < len(texts):
             j, size = k, 0
-            while j < len(texts) and (j == k or size + len(texts[j]) + 1 <= BATCH_BYTES):
+            while j < len(texts) and j - k < BATCH_DOCS and (j == k or size + len(texts[j]) + 1 <= BATCH_BYTES):
                 size += len(texts[j]) + 1
                 j += 1
             if j == k + 1:
@@ -132,7 +136,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score): natural log of each document's stupid-backoff score by the counts of all of ``docs``.
 
     The first word of a document stands for its share of all words. Null, empty and wordless texts score 0 with no words.
-    Rows of one doc_id are scored as one (their sums add up). A null doc_id counts as -1.
+    One row a row of ``docs``. A null doc_id counts as -1.
     """
     spark = docs.sparkSession
     on_workers(spark)
@@ -154,7 +158,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     noted = rows.mapInArrow(trimmed(frequent), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
     totals = {r["key"]: r["n"] for r in noted.where("k = 0").collect()}
     if not totals:
-        return rows.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"))
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"))
     limit = F.lit(0)
     for k in orders:
         limit = F.when(F.col("k") == k, totals.get(k, 0) // (2 * HOT_SHARE)).otherwise(limit)
@@ -179,7 +183,9 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     log_total = math.log(totals[1])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words, counts in _documents(batches):
+        task = TaskContext.get().partitionId()
+        for number, (ids, words, counts) in enumerate(_documents(batches)):
+            batch = task << 32 | number
             own = np.where(counts > 0, -log_total, 0.0)
             out = []
             for k in orders:
@@ -195,64 +201,96 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     part = (found % np.uint64(parts)).astype(np.int64)
                     by = np.argsort(part, kind="stable")
                     found, n, part = found[by], n[by], part[by]
-                    for at in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
-                        if len(at):
-                            out.append((int(part[at[0]]), k, np.zeros(1, "<i8").tobytes(), np.array([len(at)], "<u4").tobytes(), b"\0", _short(found[at], parts), n[at].astype("<u4").tobytes()))
+                    out += [(int(part[i]), k, batch, b"", b"", _short(found[i:j], parts), n[i:j].astype("<u4").tobytes()) for i, j in _runs(part)]
                     keys, doc, weight = keys[weight != 0], doc[weight != 0], weight[weight != 0]
-                if not len(keys):
-                    continue
                 part = (keys % np.uint64(parts)).astype(np.int64)
-                by = np.lexsort((doc, weight, part))
+                by = np.lexsort((doc, part))
                 keys, doc, weight, part = keys[by], doc[by], weight[by], part[by]
-                cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    seg = np.flatnonzero(np.r_[True, (np.diff(doc[a:b]) != 0) | (np.diff(weight[a:b]) != 0)])
-                    out.append((int(part[a]), k, ids[doc[a:b][seg]].astype("<i8").tobytes(), np.diff(np.r_[seg, b - a]).astype("<u4").tobytes(), weight[a:b][seg].astype("<i1").tobytes(), _short(keys[a:b], parts), b""))
-            names = ("part", "k", "docs", "sizes", "weights", "keys", "counts")
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            out.append((-1, 0, ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), b"", own.astype("<f8").tobytes(), b""))
-            yield pa.record_batch({n: pa.array([r[c] for r in out], t) for c, (n, t) in enumerate(zip(names, kinds, strict=True))})
+                out += [(int(part[i]), k, batch, np.diff(doc[i:j], prepend=0).astype("<u2").tobytes(), weight[i:j].astype("<i1").tobytes(), _short(keys[i:j], parts), b"") for i, j in _runs(part)]
+            out.append((-1, 0, batch, ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), own.astype("<f8").tobytes(), b""))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            yield pa.record_batch({n: pa.array([r[c] for r in out], t) for c, (n, t) in enumerate(zip(SHIPPED, kinds, strict=True))})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        sums: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         at = None
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def count() -> None:
+            """Counts the keys of one order and adds up their weighted logs by batch and document."""
             if not held:
                 return
             raw = np.frombuffer(b"".join(r["keys"] for r in held), np.uint8).reshape(-1, KEY_BYTES)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :KEY_BYTES] = raw
-            keys = wide.view("<u8").reshape(-1)
-            times = np.concatenate([np.frombuffer(r["counts"], "<u4") if len(r["counts"]) else np.ones(len(r["keys"]) // KEY_BYTES, np.uint32) for r in held])
-            found, same = np.unique(keys, return_inverse=True)
-            n = np.bincount(same, weights=times, minlength=len(found))
-            sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in held]).astype(np.int64)
-            ids = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in held])
-            weight = np.concatenate([np.frombuffer(r["weights"], "<i1") for r in held])
-            sums = np.add.reduceat(np.log(n)[same], np.cumsum(sizes) - sizes) * weight
-            some = weight != 0
-            ids, back = np.unique(ids[some], return_inverse=True)
-            yield pa.record_batch({"doc_id": pa.array(ids), "n_words": pa.array(np.zeros(len(ids), np.int64)), "s": pa.array(np.bincount(back, weights=sums[some], minlength=len(ids)).astype(np.float64))})
+            times = np.concatenate([np.frombuffer(r["counts"], "<u4") if r["counts"] else np.ones(len(r["keys"]) // KEY_BYTES, np.uint32) for r in held])
+            found, same = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
+            logs_ = np.log(np.bincount(same, weights=times, minlength=len(found)))[same]
+            start = 0
+            for r in held:
+                n = len(r["keys"]) // KEY_BYTES
+                if not r["counts"]:
+                    steps = np.frombuffer(r["steps"], "<u2").astype(np.int64)
+                    firsts = np.flatnonzero(np.r_[True, steps[1:] > 0])
+                    value = logs_[start:start + n] * np.frombuffer(r["weights"], "<i1")
+                    sums.setdefault(r["batch"], []).append((np.cumsum(steps)[firsts], np.add.reduceat(value, firsts)))
+                start += n
+            held.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for batch, got in sums.items():
+                doc, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+                rows.append((batch, np.diff(doc, prepend=0).astype("<u2").tobytes(), np.bincount(back, weights=np.concatenate([g[1] for g in got])).astype("<f8").tobytes()))
+            sums.clear()
+            if rows:
+                yield pa.record_batch({"batch": pa.array([r[0] for r in rows], pa.int64()), "own": pa.array([1] * len(rows), pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([b""] * len(rows), pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())})
 
         for batch in batches:
-            parts_, orders_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                r = {"part": parts_[i], "k": orders_[i]} | {c: batch.column(j)[i].as_buffer() for j, c in enumerate(("docs", "sizes", "weights", "keys", "counts"), 2)}
-                if r["part"] < 0:
-                    yield pa.record_batch({"doc_id": pa.array(np.frombuffer(r["docs"], "<i8")), "n_words": pa.array(np.frombuffer(r["sizes"], "<u4").astype(np.int64)), "s": pa.array(np.frombuffer(r["keys"], "<f8"))})
+            cols = [c.to_pylist() for c in batch.columns[:3]]
+            for i, (part, k, number) in enumerate(zip(*cols, strict=True)):
+                r = {"batch": number} | {c: batch.column(j)[i].as_py() for j, c in enumerate(SHIPPED[3:], 3)}
+                if part < 0:
+                    yield pa.record_batch({"batch": pa.array([number], pa.int64()), "own": pa.array([0], pa.int32()), "a": pa.array([r["steps"]], pa.binary()), "b": pa.array([r["weights"]], pa.binary()), "c": pa.array([r["keys"]], pa.binary())})
                     continue
-                if (r["part"], r["k"]) != at:
-                    yield from close()
-                    held.clear()
-                    at = r["part"], r["k"]
-                held.append({c: bytes(v) if isinstance(v, pa.Buffer) else v for c, v in r.items()})  # a copy, so that the batch can go
+                if (part, k) != at:
+                    count()
+                    if at is not None and part != at[0]:
+                        yield from close()
+                    at = part, k
+                held.append(r)
+        count()
         yield from close()
 
-    shipped = rows.mapInArrow(trimmed(ship), "part int, k int, docs binary, sizes binary, weights binary, keys binary, counts binary")
-    deal = F.when(F.col("part") < 0, F.xxhash64("docs")).otherwise(F.col("part"))
-    sums = shipped.repartition(parts, deal).sortWithinPartitions("part", "k").mapInArrow(trimmed(join), "doc_id long, n_words long, s double")
-    return sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("log_score"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's own row, then its sums from every partition."""
+        ids = sizes = scores = number = None
+
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch({"doc_id": pa.array(ids), "n_words": pa.array(sizes), "log_score": pa.array(scores)})
+
+        for batch in batches:
+            for key, own, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if own == 0:
+                    if number is not None:
+                        yield flush()
+                    number, ids, sizes, scores = key, np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<f8").copy()
+                else:
+                    assert key == number
+                    scores[np.cumsum(np.frombuffer(a, "<u2").astype(np.int64))] += np.frombuffer(c, "<f8")
+        if number is not None:
+            yield flush()
+
+    shipped = rows.mapInArrow(trimmed(ship), "part int, k int, batch long, steps binary, weights binary, keys binary, counts binary")
+    deal = F.when(F.col("part") < 0, F.xxhash64("batch")).otherwise(F.col("part"))
+    sums = shipped.repartition(parts, deal).sortWithinPartitions("part", "k").mapInArrow(trimmed(join), "batch long, own int, a binary, b binary, c binary")
+    return sums.repartition("batch").sortWithinPartitions("batch", "own").mapInArrow(trimmed(add_up), "doc_id long, n_words long, log_score double")
+
+
+def _runs(part: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)) if len(part) else []
 
 
 def _short(keys: np.ndarray, parts: int) -> bytes:
@@ -299,13 +337,12 @@ def score_against(docs: DataFrame, reference: DataFrame, order: int = ORDER, bac
     """
     tables = count_tables(reference, order)
     rows = exploded(docs, order)
-    total = tables[1].agg(F.coalesce(F.sum("n"), F.lit(1)).alias("_total"))
+    total = tables[1].agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()["n"]
     for k in range(1, order + 1):
         rows = rows.join(tables[k].select(F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}")), f"g{k}", "left")
         if k < order:
             rows = rows.join(tables[k].select(F.col("g").alias(f"ctx{k}"), F.col("n").alias(f"m{k}")), f"ctx{k}", "left")
-    rows = rows.join(F.broadcast(total))  # one row
-    share = F.coalesce(F.col("n1"), F.lit(1)) / F.col("_total")
+    share = F.coalesce(F.col("n1"), F.lit(1)) / F.lit(total)
     score = F.log(share) + (order - 1) * math.log(backoff)
     for k in range(2, order + 1):
         score = F.when(F.col(f"n{k}").isNotNull(), F.log(F.col(f"n{k}") / F.col(f"m{k - 1}")) + (order - k) * math.log(backoff)).otherwise(score)
