@@ -83,13 +83,13 @@ class PartEncoder:
         """Ids of a part that is one run of Latin letters, with a mark after it or not; None for any other part.
 
         Such a run is one word to both pre-tokenisers and stays as it is under NFC, so the library's model takes it as it is.
-        A run that is known without its mark, or in lower case where case doesn't matter, isn't encoded again.
+        Where case doesn't matter, a run that is known in lower case and without its mark isn't encoded again.
         """
         tail = part[-1] if part[-1] in MARKS else ""
         word = part[:-1] if tail else part
         if self.drops_space:
             word = word.lower()
-        ids = self.known.get(word) if word is not part else None
+        ids = self.known.get(word) if self.drops_space and word is not part else None
         if ids is None:
             core, lead, before = word, self.lead, ""
             if lead and word[:1] == "\n":
