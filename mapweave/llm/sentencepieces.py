@@ -7,7 +7,9 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import compress, repeat
+from operator import is_
 
 import pyarrow as pa
 import public_tokenizers
@@ -27,9 +29,11 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 THREADS = 2
 TEXTS_AT_ONCE = 256
 BATCH = 4096
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 900_000
 CACHE_CHARS = 64
 
+_is_none = partial(is_, None)
+
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -122,7 +126,7 @@ class Pieces:
         self.ids = {p: i for i, (p, _, _) in enumerate(self.model.pieces)}
         self.mark = little_endian([self.ids[SPACE]]) if SPACE in self.ids else None
         self.runs: dict[int, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.table = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
         #: Models whose words don't depend on each other and whose texts stay as they are go word by word.
         self.by_words = self.model.kind == BPE and not self.model.charsmap and not self.model.trim and self.model.escape and self.model.dummy_prefix and self.mark is not None and not any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids) and not any(k == USER for _, _, k in self.model.pieces)
@@ -157,35 +161,43 @@ class Pieces:
             return [little_endian(e.ids) for e in self.tokenizer.encode_batch(ready, add_special_tokens=False)]
         known = self.known
         cut = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
-        new = list(set().union(*cut) - known.keys() - {""})
-        for i in range(0, len(new), BATCH):
-            part = new[i:i + BATCH]
+        found = [list(map(known.get, words)) for words in cut]
+        new: dict[str, bytes | None] = {}
+        for words, ids in zip(cut, found, strict=True):
+            if None in ids:
+                new.update(zip(compress(words, map(_is_none, ids)), repeat(None)))
+        todo = list(new)
+        for i in range(0, len(todo), BATCH):
+            part = todo[i:i + BATCH]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([SPACE + w for w in part], add_special_tokens=False), strict=True):
-                known[w] = little_endian(e.ids)
+                new[w] = little_endian(e.ids)
         out = []
-        for words in cut:
-            if "" not in words:
-                out.append(b"".join(map(known.__getitem__, words)))
+        for words, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids = [new[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(b"".join(self._with_runs(words, ids) if "" in words else ids))
+        for w, ids in new.items():
+            if len(known) >= CACHE_ENTRIES:
+                break
+            if len(w) <= CACHE_CHARS:
+                known[w] = ids
+        return out
+
+    def _with_runs(self, words: list[str], ids: list[bytes]) -> Iterator[bytes]:
+        """Ids of words where an empty word is a space more before the next."""
+        run = 0
+        for w, got in zip(words, ids, strict=True):
+            if not w:
+                run += 1
                 continue
-            ids, run = [], 0
-            for w in words:  # an empty word is a space more before the next
-                if not w:
-                    run += 1
-                    continue
-                got = known[w]
-                if run:
-                    if got[:4] == self.mark:
-                        got, run = got[4:], run + 1
-                    ids.append(self._run(run))
-                    run = 0
-                ids.append(got)
             if run:
-                ids.append(self._run(run))
-            out.append(b"".join(ids))
-        room = CACHE_ENTRIES - (len(known) - len(new))
-        for w in new if room <= 0 else [*new[room:], *(w for w in new[:room] if len(w) > CACHE_CHARS)]:
-            del known[w]
-        return out
+                if got[:4] == self.mark:
+                    got, run = got[4:], run + 1
+                yield self._run(run)
+                run = 0
+            yield got
+        if run:
+            yield self._run(run)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
