@@ -35,7 +35,7 @@ KEY_BYTES = 5
 SHIPPED = ("part", "k", "batch", "steps", "weights", "keys", "counts")
 #: Documents of a batch at most; their places in it are 16 bits wide.
 BATCH_DOCS = 30_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
