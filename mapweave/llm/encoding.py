@@ -43,6 +43,11 @@ def _lone_spaces(text: str) -> bool:
     return not any(c in text for c in OTHER_SPACE)
 
 
+def _latin(word: str) -> bool:
+    """Whether ``word`` is letters before LATIN_END only, one at least."""
+    return word.isalpha() and (word.isascii() or max(word) < LATIN_END)
+
+
 def little_endian(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     out = array("I", ids)
@@ -83,28 +88,27 @@ class PartEncoder:
         """Ids of a part that is one run of Latin letters, with a mark after it or not; None for any other part.
 
         Such a run is one word to both pre-tokenisers and stays as it is under NFC, so the library's model takes it as it is.
-        Where case doesn't matter, a run that is known in lower case and without its mark isn't encoded again.
+        Where case doesn't matter, a run that is known in lower case and without its mark isn't encoded again. Before a
+        mark nothing but letters may stand: marks and symbols in a row are one word to the pre-tokenisers.
         """
         tail = part[-1] if part[-1] in MARKS else ""
         word = part[:-1] if tail else part
+        lead, before = self.lead, ""
+        if lead and word[:1] == "\n":
+            word, lead, before = word[1:], "", "\n"
+        if not _latin(word):
+            return None
+        ids = None
         if self.drops_space:
             word = word.lower()
-        ids = self.known.get(word) if self.drops_space and word is not part else None
-        if ids is None:
-            core, lead, before = word, self.lead, ""
-            if lead and word[:1] == "\n":
-                core, lead, before = word[1:], "", "\n"
-            if not core.isalpha():
+            if not _latin(word):
                 return None
-            if not core.isascii():
-                if max(core) >= LATIN_END:
-                    return None
-                core = core.encode().decode("latin-1").translate(BYTE_LEVEL)
+            ids = self.known.get(word)
+        if ids is None:
+            core = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
             ids = little_endian([t.id for t in self.model.tokenize(lead + core)])
             if before:
                 ids = self.marks[before] + ids
-        elif not word:
-            return None
         return ids + self.marks[tail] if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -35,6 +35,16 @@ def test_pieces_match_the_original(text):
     assert p.decode(ids) == o.decode(o.encode(text))
 
 
+@pytest.mark.parametrize("shorter, longer", [
+    ("etc.", "etc.,"), ("U.S.", "U.S.,"), ("what?", "what?!"), ("wait.", "wait.."), ("foo)", "foo)."), ("2019)", "2019);"), ('"', '".'),
+    ("οδος", "ΟΔΟΣ"), ("οδος", "ΟΔΟΣ."), ("i̇", "İ"), ("<|endoftext|>", "<|ENDOFTEXT|>"), ("<|endoftext|>", "<|ENDOFTEXT|>."), ("word", "Word,"), ("été", "ÉTÉ!")])
+def test_known_parts_don_t_change_longer_ones(shorter, longer):
+    for path in (WORDS, BYTES):
+        e = encoding.PartEncoder(path)
+        for text in (f"a {shorter} b", f"a {longer} b"):
+            assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_full_cache_gives_the_same(monkeypatch):
     e = encoding.PartEncoder(BYTES)
     texts = ["some words here, and more words.\nNext line"] * 3
