@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from mapweave.llm import components, exact_dedup, simhash
+import corpus_pipeline
+from mapweave.llm import components, exact_dedup, similar, simhash
 from mapweave.llm.exact_dedup import CuckooIndex
 
 
@@ -145,3 +146,32 @@ def test_keep_smallest_of_near(spark):
     text = " ".join(f"a{k}" for k in range(500))
     out = simhash.drop_near(docs(spark, [(9, text), (4, text + " tail"), (6, "other words stand here now")]).withColumn("id", F.lit("x")))
     assert {r["doc_id"] for r in out.collect()} == {4, 6} and out.columns == ["doc_id", "text", "id"]
+
+
+def test_the_stage_drops_similar_texts(spark):
+    rng = random.Random(7)
+    rows = [(1000, None), (1001, ""), (1002, "One two"), (1003, "one  TWO")]
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 500]))]
+        for c in range(8):
+            edited = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 40)):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(5000)}"
+            rows.append((k * 10 + c, " ".join(edited)))
+    sets = {i: similar.shingles(t) for i, t in rows}
+    ids, label = sorted(sets), {}
+    for i in ids:  # smallest first, so labels are the smallest of what is linked
+        near = {label[j] for j in label if similar.similarity(sets[i], sets[j]) >= 0.8}
+        label[i] = min(near, default=i)
+        label = {j: label[i] if x in near else x for j, x in label.items()}
+    got = {r["doc_id"] for r in corpus_pipeline.near(spark, docs(spark, rows), "").collect()}
+    assert got == set(label.values()) and len(got) < len(rows) - 100
+
+
+def test_members_of_a_bucket_meet_without_its_smallest(spark):
+    rows = [(1, 0, k) for k in range(6)] + [(2, 0, 9)]
+    star = similar._pairs(spark.createDataFrame(rows, "key long, label long, node long"), stars=True).collect()
+    assert {(r["u"], r["v"]) for r in star} == {(k, 0) for k in range(1, 6)}
+    rows = [(1, 0, 0), (1, 0, 1), (1, 2, 2), (1, 3, 3), (2, 5, 5), (2, 5, 6)]
+    rest = similar._pairs(spark.createDataFrame(rows, "key long, label long, node long"), stars=False).collect()
+    assert {(r["u"], r["v"]) for r in rest} == {(2, 0), (3, 0), (2, 1), (3, 1), (3, 2)}
