@@ -18,12 +18,12 @@ from .common import documents, stage, unstage
 SPACE = r"[ \t\n\x0B\f\r]+"
 WINDOW = 8
 #: Transformed statistics, each with the least standard deviation that an estimate may have.
-STATISTICS = {"x_symbols": 0.04, "x_upper": 0.06, "x_marks": 0.06, "x_twice": 0.08, "x_lines": 0.15, "x_repeats": 0.15}
+STATISTICS = {"x_length": 0.10, "x_symbols": 0.04, "x_upper": 0.06, "x_marks": 0.06, "x_twice": 0.08, "x_lines": 0.15, "x_repeats": 0.15}
 #: Share of a group that an estimate rests on.
 CORE = 0.75
-STEPS = 3
-#: Quantiles of chi-square with one degree for each statistic (six): the median, and 1 - 1e-7.
-CHI2_MEDIAN, CHI2_CUT = 5.348, 43.0
+STEPS = 4
+#: Quantiles of chi-square with one degree for each statistic (seven): the median, and 1 - 1e-7.
+CHI2_MEDIAN, CHI2_CUT = 6.346, 44.0
 #: Groups with fewer usable rows, and those after the MAX_GROUPS largest, share the estimate of their language's rest or, if that is small too, of all such rows.
 MIN_GROUP, MAX_GROUPS = 200, 10_000
 #: The percentile sketch's accuracy.
@@ -66,66 +66,64 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _transformed(df: DataFrame) -> DataFrame:
-    """The statistics: roots of shares, which are near normal for clean text."""
+    """The statistics, on scales where clean text is near normal: logarithms of sizes, roots of shares."""
     chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     share = lambda a, b: F.sqrt(F.least(F.col(a) / b, F.lit(1.0)))
     return df.withColumns({
-        "x_symbols": share("n_symbols", chars), "x_upper": share("_upper", chars), "x_marks": share("_marks", chars),
+        "x_length": F.log(chars / words), "x_symbols": share("n_symbols", chars), "x_upper": share("_upper", chars), "x_marks": share("_marks", chars),
         "x_twice": share("_twice", words), "x_lines": share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))), "x_repeats": share("n_repeat_words", words),
     })
 
 
 def _distance(df: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance, by forward substitution with the estimate's columns m_i and l_i_j."""
-    y: list[Column] = []
-    for i, x in enumerate(names):
-        rest = reduce(lambda a, j: a - F.col(f"l_{i}_{j}") * F.col(f"_y{j}"), range(i), F.col(x) - F.col(f"m_{i}"))
-        df = df.withColumn(f"_y{i}", rest / F.col(f"l_{i}_{i}"))
-        y.append(F.col(f"_y{i}") * F.col(f"_y{i}"))
-    return df.withColumn("d2", reduce(lambda a, b: a + b, y)).drop(*[f"_y{i}" for i in range(len(names))])
+    """Adds ``d2``, the squared Mahalanobis distance, with the estimate's columns m (means) and p (the inverse factor, row by row)."""
+    off = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(names)]
+    y = [reduce(lambda a, b: a + b, [F.get("p", F.lit(i * (i + 1) // 2 + j)) * off[j] for j in range(i + 1)]) for i in range(len(names))]
+    return df.withColumn("d2", F.aggregate(F.array(*y), F.lit(0.0), lambda a, x: a + x * x))
 
 
 def _factor(df: DataFrame, names: list[str]) -> DataFrame:
-    """Adds to rows with means m_i and covariances c_i_j the lower factor l_i_j and half the log determinant."""
+    """Adds to rows with covariances c_i_j the inverse p of their lower factor and half the log determinant."""
     floors = list(STATISTICS.values())
-    logs = []
-    for i in range(len(names)):
-        for j in range(i + 1):
-            inner = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}") + (floors[i] ** 2 if i == j else 0.0))
-            df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(inner, F.lit(floors[i] ** 2 / 4))) if i == j else inner / F.col(f"l_{j}_{j}"))
-        logs.append(F.log(f"l_{i}_{i}"))
-    return df.withColumn("half_log_det", reduce(lambda a, b: a + b, logs))
+    d = len(names)
+    for j in range(d):
+        inner = lambda i: reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), F.col(f"c_{i}_{j}") + (floors[i] ** 2 if i == j else 0.0))  # noqa: B023, E731
+        df = df.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(inner(j), F.lit(floors[j] ** 2 / 4))))
+        df = df.withColumns({f"l_{i}_{j}": inner(i) / F.col(f"l_{j}_{j}") for i in range(j + 1, d)})
+    for i in range(d):
+        sums = [reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"p_{k}_{j}"), range(j, i), F.lit(0.0)) for j in range(i)]  # noqa: B023
+        df = df.withColumns({f"p_{i}_{j}": x / F.col(f"l_{i}_{i}") for j, x in enumerate([*sums, F.lit(1.0)])})
+    return df.withColumns({"p": F.array(*[f"p_{i}_{j}" for i in range(d) for j in range(i + 1)]), "half_log_det": reduce(lambda a, b: a + b, [F.log(f"l_{i}_{i}") for i in range(d)])})
 
 
 def estimates(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Minimum covariance determinant estimates of the groups ``g`` of a staged table: g, m_i, l_i_j (scaled to the core's distances).
+    """Minimum covariance determinant estimates of the groups ``g`` of a staged table: g, m, p (scaled to the core's distances).
 
     Every step is two aggregations that combine before the shuffle; the estimates (two for each of MAX_GROUPS groups
     and the pools at most) are broadcast back, so the rows themselves are never shuffled.
     """
     d = len(names)
     floors = list(STATISTICS.values())
-    medians = rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m_{i}") for i, x in enumerate(names)])
-    medians = stage(medians, "medians")
-    spread = rows.join(F.broadcast(medians), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, ACCURACY).alias(f"s_{i}") for i, x in enumerate(names)])
-    first = medians.join(spread, "g")
-    zero = {f"l_{i}_{j}": F.lit(0.0) for i in range(d) for j in range(i)}
-    scaled = first.withColumns({"start": F.lit(0)} | zero | {f"l_{i}_{i}": F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i])) for i in range(d)})
-    ball = first.withColumns({"start": F.lit(1)} | zero | {f"l_{i}_{i}": F.lit(1.0) for i in range(d)})
-    keep = ["g", "start", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)]]
-    now = stage(scaled.select(keep).unionByName(ball.select(keep)), "estimates")
-    for _ in range(STEPS):
+    medians = stage(rows.groupBy("g").agg(F.array(*[F.percentile_approx(x, 0.5, ACCURACY) for x in names]).alias("m")), "medians")
+    spread = rows.join(F.broadcast(medians), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.get("m", F.lit(i))), 0.5, ACCURACY).alias(f"s_{i}") for i, x in enumerate(names)])
+    first = stage(medians.join(spread, "g"), "spreads")
+    diagonal = lambda x: F.array(*[x(i) if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)])
+    scaled = first.select("g", F.lit(0).alias("start"), "m", diagonal(lambda i: 1 / F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i]))).alias("p"))
+    ball = first.select("g", F.lit(1).alias("start"), "m", diagonal(lambda i: F.lit(1.0)).alias("p"))
+    now = stage(scaled.unionByName(ball), "estimates")
+    for _ in range(STEPS):  # what a step reads is staged, so no plan holds two distances
         far = _distance(rows.join(F.broadcast(now), "g"), names)
-        cut = far.groupBy("g", "start").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("cut"))
-        core = _distance(rows.join(F.broadcast(now.join(cut, ["g", "start"])), "g"), names).where("d2 <= cut")
-        sums = core.groupBy("g", "start").agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
-        new = stage(_factor(sums, names).select(*keep, "half_log_det"), "estimates")
-        unstage(now)
+        cut = stage(now.select("g", "start", "m", "p").join(far.groupBy("g", "start").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("cut")), ["g", "start"]), "cuts")
+        core = _distance(rows.join(F.broadcast(cut), "g"), names).where("d2 <= cut")
+        sums = stage(core.groupBy("g", "start").agg(F.array(*[F.avg(x) for x in names]).alias("m"), *[F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]), "sums")
+        new = stage(_factor(sums, names).select("g", "start", "m", "p", "half_log_det"), "estimates")
+        for x in (now, cut, sums):
+            unstage(x)
         now = new
     best = now.groupBy("g").agg(F.min_by("start", F.struct("half_log_det", "start")).alias("start"))
-    chosen = now.join(best, ["g", "start"]).drop("start", "half_log_det")
+    chosen = stage(now.join(best, ["g", "start"]).drop("start", "half_log_det"), "estimates")
     scale = _distance(rows.join(F.broadcast(chosen), "g"), names).groupBy("g").agg(F.greatest(F.lit(1.0), F.sqrt(F.percentile_approx("d2", 0.5, ACCURACY) / CHI2_MEDIAN)).alias("scale"))
-    return stage(chosen.join(scale, "g").withColumns({f"l_{i}_{j}": F.col(f"l_{i}_{j}") * F.col("scale") for i in range(d) for j in range(i + 1)}).drop("scale"), "estimates")
+    return stage(chosen.join(scale, "g").select("g", "m", F.transform("p", lambda x: x / F.col("scale")).alias("p")), "estimates")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:

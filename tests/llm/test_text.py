@@ -128,6 +128,15 @@ def test_outliers_are_rejected_and_clean_text_stays(spark):
     assert not any(got[i] for i, *_ in bad) and sum(got[i] for i, *_ in rows) == len(rows)
 
 
+def test_odd_word_lengths_are_rejected(spark):
+    rng = random.Random(11)
+    rows = [(k, clean(rng), "en", "s") for k in range(500)]
+    glued = [(1000 + k, re.sub(r"(\w+) (\w+) (\w+)", r"\1\2\3", clean(rng, 400)), "en", "s") for k in range(20)]
+    spaced = [(2000 + k, " ".join(clean(rng, 100).replace(" ", "")), "en", "s") for k in range(20)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(spark, rows + glued + spaced, SHORT)).collect()}
+    assert sum(got[i] for i, *_ in rows) == len(rows) and not any(got[i] for i, *_ in glued + spaced)
+
+
 def test_quality_edges(spark):
     few = docs(spark, [(1, clean(random.Random(1), 100), None, None), (2, None, None, "s")], SHORT)
     assert {r["doc_id"]: r["kept"] for r in quality.judge(few).collect()} == {1: True, 2: False}
