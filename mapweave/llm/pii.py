@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,7 +36,12 @@ _spelled_left = re.compile(r"[A-Za-z0-9._%+-]+ ?\Z")
 _spelled_right = re.compile(r" ?[A-Za-z0-9-]+(?: ?[\[(]?(?:dot|DOT|punkt|point|punto|\.)[\])]? ?[A-Za-z0-9-]+)+")
 _local_phone = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
 _value = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,})")
-_two_names = re.compile(r"[A-Z][a-z]{1,20} [A-Z][a-z]{1,20}")
+_upper = "".join(c for c in map(chr, range(0x10000)) if c.isupper())
+_lower = "".join(c for c in map(chr, range(0x10000)) if c.islower() or "\u0300" <= c <= "\u036f")
+_name = rf"[{_upper}](?:[{_lower}]{{1,20}}|['\u2019](?=[{_upper}]))(?:['\u2019-]?[{_upper}][{_lower}]{{1,20}}){{0,2}}"
+#: Matches overlap: each word that may start a name, the word after it and the one after that.
+_two_names = re.compile(rf"(?={_name} )(?=({_name}) ({_name})(?: ({_name}))?)")
+_titled = re.compile(rf"(?<!\w)(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|Señor(?:a|ita)?|Sra?|Madame|Mme|Monsieur)\.? ({_name}(?: {_name})?)")
 
 #: Fixed values of the gazetteers and context labelers.
 GIVEN_NAMES = frozenset("""
@@ -47,13 +53,15 @@ Sophie Stefan Susan Thomas Ursula Wolfgang William
 """.split())
 TOP_DOMAINS = frozenset("com org net edu gov info biz io de fr es uk it nl ch at be us ca eu".split())
 CARD_PREFIXES = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+#: Words that stand before a name and don't start one.
+BEFORE_NAMES = frozenset("dear contact herr herrn frau mr mrs ms dr prof señor señora señorita sr sra madame mme monsieur by from regards hello hi call write".split())
 CUES = {
     "email": frozenset("mail email e-mail contact write courriel correo adresse".split()),
     "ip": frozenset("ip host server address addr from client adresse".split()),
     "card": frozenset("card visa mastercard amex credit karte carte tarjeta".split()),
     "phone": frozenset("phone tel telephone call fax mobile cell telefon teléfono téléphone appelez llame".split()),
     "secret": frozenset("token secret password passwd pwd key apikey api_key bearer auth".split()),
-    "name": frozenset("mr mrs ms dr name named herr frau señor señora madame monsieur regards dear by".split()),
+    "name": frozenset("mr mrs ms dr prof sr sra mme contact name named herr herrn frau señor señora madame monsieur regards dear by".split()),
 }
 COUNTER_CUES = frozenset("version license section chapter isbn issue figure table page order invoice id no step sha commit hash md5 build".split())
 _word = re.compile(r"[\w-]+")
@@ -65,6 +73,11 @@ THRESHOLD = 0.5
 Span = tuple[int, int, int]  # kind, start, end
 
 
+def given(word: str) -> bool:
+    """Whether ``word`` is a given name of the gazetteer, with accents or without."""
+    return word in GIVEN_NAMES or not word.isascii() and "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)) in GIVEN_NAMES
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -109,7 +122,7 @@ def _votes(text: str, kind: int, start: int, end: int, shape: int) -> tuple[int,
     elif name == "email":
         gazetteer = 1 if body.rpartition(".")[2].rpartition(" ")[2].lower() in TOP_DOMAINS else -1
     elif name == "name":
-        gazetteer = 1 if body.split(" ")[0] in GIVEN_NAMES else -1
+        gazetteer = 1 if given(body.split(" ")[0]) else -1 if " " in body else 0
     elif name == "secret":
         mixed = bool(digits) and any(c.isalpha() for c in body)
         checksum = 1 if mixed and len(set(body.lower())) >= 8 else -1
@@ -158,9 +171,13 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[Span, int]]:
             left, right = _spelled_left.search(text, max(0, m.start() - 64), m.start()), _spelled_right.match(text, m.end())
             if left and right and (m[0].strip("[]() ") != m[0].strip() or "dot" in right[0].lower()):
                 propose(0, left.start(), right.end(), 1 if m[0][0] in "[(" else 0)
-    for m in _two_names.finditer(text):
-        if m[0].split(" ")[0] in GIVEN_NAMES:
-            propose(5, m.start(), m.end(), 0)
+    for m in _titled.finditer(text):
+        propose(5, m.start(1), m.end(1), 1)
+    pairs = [m for m in _two_names.finditer(text) if m[1].lower() not in BEFORE_NAMES]
+    for known in (True, False):  # of pairs that overlap, the one that a given name starts
+        for m in pairs:
+            if given(m[1]) == known:
+                propose(5, m.start(1), m.end(3) if m[3] and known and given(m[2]) else m.end(2), 0)
     return found
 
 

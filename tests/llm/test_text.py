@@ -185,6 +185,25 @@ def test_spans_and_masks(spark):
     assert pii.find_spans(docs(spark, []), pii.fit(docs(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("text, name", [
+    ("Dear John Smith, hello", "John Smith"), ("Contact Maria Lopez now", "Maria Lopez"), ("An Herr Klaus Weber", "Klaus Weber"), ("Frau Anna Müller", "Anna Müller"),
+    ("wrote José García", "José García"), ("Hola María López", "María López"), ("Mr. Smith came", "Smith"), ("Dear Zoltán Kovács", "Zoltán Kovács"), ("by John O'Neill", "John O'Neill")])
+def test_names_are_proposed(text, name):
+    found = {text[s:e]: pii.decode(code)[1] for (kind, s, e), code in pii.candidates(text, []) if pii.KINDS[kind] == "name"}
+    assert name in found and list(found).count(name) == 1 and found[name][pii.LABELERS.index("gazetteer")] == (0 if " " not in name else -1 if "Zolt" in name else 1)
+
+
+def test_labelers_decide_on_names():
+    known = [f"Dear {g} Smith, the plan is set. " for g in ("John", "Maria", "Klaus", "José")] * 50
+    titled = ["We met Mr. Lindqvist there. "] * 40
+    other = [f"In the {a} {b} of that year. " for a in ("United", "Old", "Grand", "Second") for b in ("House", "Bridge")] * 100
+    counts = collections.Counter(code for t in known + titled + other for _, code in pii.candidates(t, []))
+    accepted = pii.SpanModel(counts).accepted
+    named = lambda t: [t[s:e] for k, s, e in pii.spans_of(t, accepted)[1]]
+    assert [named(t) for t in known[:4]] == [["John Smith"], ["Maria Smith"], ["Klaus Smith"], ["José Smith"]]
+    assert named(titled[0]) == ["Lindqvist"] and not any(named(t) for t in other)
+
+
 def test_codes_hold_votes():
     text = "card 4539148803436468 and 555 123 4567"
     for span, code in pii.candidates(text, []):
