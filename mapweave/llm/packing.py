@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, on_workers, stage, trimmed
-from .encoding import ids_of
+from .encoding import encoder, slices
 
 #: Pieces that one task packs together; groups fill their last sequence alone, one in some thousands.
 GROUP_PIECES = 8192
-TEXTS_AT_ONCE = 256
-#: Rounds without a bin less before the search of a group ends.
-STALE_ROUNDS = 256
+#: Rounds in a row that empty no bin after which the search of a group ends; where sizes are mixed it comes to rest long before.
+STALE_ROUNDS = 512
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,19 +46,41 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def swap_search(sizes: np.ndarray, bin_of: np.ndarray, fills: np.ndarray, capacity: int) -> np.ndarray:
-    """Improves a packing until the fewest conceivable bins are reached or nothing moves; returns each item's bin.
+    """Improves a packing until the fewest conceivable bins are reached, nothing moves, or STALE_ROUNDS rounds empty no bin; returns each item's bin.
 
-    The emptiest bin gives: an item of it moves to the fullest bin with room, or is exchanged for a smaller item or two
-    smaller ones of a fuller bin that ends fuller yet. Each step raises the sum of squared fills, so the search ends; a bin without items is gone.
+    The emptiest bin gives: an item of it moves to the fullest bin with room, or is exchanged for a smaller item or any two
+    smaller ones of a fuller bin that ends fuller yet. Each step raises the sum of squared fills, so the search ends; a bin
+    without items is gone. Full bins can't take part, so the search is over the items of the others.
     """
     bin_of, fills = bin_of.copy(), fills.copy()
-    least = -(-int(sizes.sum()) // capacity)
+    spare = int((fills > 0).sum()) - -(-int(sizes.sum()) // capacity)  # bins that may go at best
+    stale = 0
+    while spare > 0:
+        open_ = np.flatnonzero(fills[bin_of] < capacity)
+        if not len(open_):
+            break
+        names, local = np.unique(bin_of[open_], return_inverse=True)
+        got, gone, stale, more = _search(sizes[open_], local, fills[names], capacity, spare, stale)
+        bin_of[open_] = names[got]
+        fills = np.bincount(bin_of, weights=sizes, minlength=len(fills)).astype(np.int64)
+        spare -= gone
+        if not more:
+            break
+    return bin_of
+
+
+def _search(sizes: np.ndarray, bin_of: np.ndarray, fills: np.ndarray, capacity: int, spare: int, stale: int) -> tuple[np.ndarray, int, int, bool]:
+    """Rounds over bins that aren't full, until half of them are: each item's bin, bins emptied, stale rounds, and whether to go on."""
+    fills = fills.copy()
     closed = np.zeros(len(fills), bool)
-    used, stale = int((fills > 0).sum()), 0
-    while used > least and stale < STALE_ROUNDS:
-        candidates = np.flatnonzero((fills > 0) & ~closed)
+    gone = 0
+    while gone < spare and stale < STALE_ROUNDS:
+        in_play = (fills > 0) & (fills < capacity)
+        candidates = np.flatnonzero(in_play & ~closed)
         if not len(candidates):
-            break
+            return bin_of, gone, stale, False
+        if 2 * int(in_play.sum()) < len(fills):
+            return bin_of, gone, stale, True
         giver = int(candidates[np.argmin(fills[candidates])])
         moved = False
         for k in np.flatnonzero(bin_of == giver)[np.argsort(-sizes[bin_of == giver], kind="stable")].tolist():
@@ -78,19 +99,18 @@ def swap_search(sizes: np.ndarray, bin_of: np.ndarray, fills: np.ndarray, capaci
                 fills[to] += less
                 fills[giver] -= less
                 moved = True
+        stale += 1
         if fills[giver] == 0:
-            used, stale = used - 1, 0
+            gone, stale = gone + 1, 0
+        if moved:
             closed[:] = False
-        elif not moved:
-            closed[giver] = True
-            stale += 1
         else:
-            stale += 1
-    return bin_of
+            closed[giver] = True
+    return bin_of, gone, stale, False
 
 
 def _exchange(sizes: np.ndarray, bin_of: np.ndarray, fills: np.ndarray, gaps: np.ndarray, giver: int, y: int) -> tuple[int, list[int]]:
-    """The bin to take an item of size ``y`` and the one or two items it gives for it; (-1, []) if none gets fuller."""
+    """The bin to take an item of size ``y`` and the one or two items it gives for it, of all that a bin holds; (-1, []) if none gets fuller."""
     open_items = np.flatnonzero((gaps[bin_of] > 0) & (bin_of != giver) & (sizes < y))
     if not len(open_items):
         return -1, []
@@ -101,14 +121,20 @@ def _exchange(sizes: np.ndarray, bin_of: np.ndarray, fills: np.ndarray, gaps: np
         i = int(np.argmax(np.where(fits, gain, 0)))
         best, to, back = int(gain[i]), int(bin_of[open_items[i]]), [int(open_items[i])]
     order = open_items[np.lexsort((sizes[open_items], bin_of[open_items]))]
-    pair = np.flatnonzero(bin_of[order][1:] == bin_of[order][:-1])  # neighbours by size in one bin
-    if len(pair):
-        a, b = order[pair], order[pair + 1]
-        gain = y - sizes[a] - sizes[b]
-        fits = (gain > best) & (gain <= gaps[bin_of[a]]) & (fills[bin_of[a]] + gain > fills[giver])
+    where, size = bin_of[order], sizes[order]
+    third = np.r_[False, False, (where[2:] == where[:-2]) & (size[2:] == size[:-2])][:len(order)]
+    order, where, size = order[~third], where[~third], size[~third]  # of equal items of a bin two are enough
+    apart = 1
+    while apart < len(order):
+        pair = np.flatnonzero(where[apart:] == where[:-apart])
+        if not len(pair):
+            break
+        gain = y - size[pair] - size[pair + apart]
+        fits = (gain > best) & (gain <= gaps[where[pair]]) & (fills[where[pair]] + gain > fills[giver])
         if fits.any():
             i = int(np.argmax(np.where(fits, gain, 0)))
-            to, back = int(bin_of[a[i]]), [int(a[i]), int(b[i])]
+            best, to, back = int(gain[i]), int(where[pair[i]]), [int(order[pair[i]]), int(order[pair[i] + apart])]
+        apart += 1
     return to, back
 
 
@@ -130,19 +156,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
-                out: list[tuple] = []
-                for key, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist(), tokenizer, end_id), strict=True):
-                    n = len(ids) // 4
-                    start, stop, piece = 0, (n - 1) % capacity + 1, 0
-                    while start < n:
-                        data = ids[4 * start:4 * stop]
-                        out.append((key, piece, start, stop - start, zlib.crc32(data), np.frombuffer(data, "<u4").astype(np.int32) if with_ids else None))
-                        start, stop, piece = stop, stop + capacity, piece + 1
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")[:6 if with_ids else 5]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.record_batch({n: pa.array([r[k] for r in out], kinds[k]) for k, n in enumerate(names)})
+            for i, n in slices(batch.column(1)):
+                part = batch.slice(i, n)
+                ids, at = encoder(tokenizer).encode_array(part.column(1), [end_id])
+                sizes = np.diff(at)
+                pieces = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                stop = ((sizes - 1) % capacity + 1)[doc] + piece * capacity
+                start = np.where(piece == 0, 0, stop - capacity)
+                bounds = np.r_[at[doc] + start, at[-1]]
+                data = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                out = {"doc_id": part.column(0).take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(stop - start), "ids_crc32": pa.array(crcs, pa.int64())}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.record_batch(out)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

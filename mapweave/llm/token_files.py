@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, on_workers, stage, trimmed
-from .encoding import ids_of
+from .encoding import encoder, slices
 
 MAGIC = b"MWTK"
 HEADER = struct.Struct("<4sBxxxIQQ")  # magic, bits an id, ids a block, documents, ids
 BLOCK_IDS = 8192
 #: A file ends when it holds so many ids.
 FILE_IDS = 16_000_000
+#: Ranges of doc_id that are put in order apart; the quantiles that cut them keep some 4 x MAX_RANGES values.
 DOCS_PER_RANGE = 2048
-MAX_RANGES = 65_536
-TEXTS_AT_ONCE = 256
+MAX_RANGES = 16_384
 
 
 def bits_for(vocabulary: int) -> int:
@@ -40,6 +40,8 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as ``bits`` wide fields, least bit first, padded to whole bytes."""
     ids = np.ascontiguousarray(ids, "<u4")
+    if bits < 32 and len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"an id needs over {bits} bits")
     if bits == 16:
         return ids.astype("<u2").tobytes()
     fields = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
@@ -56,13 +58,18 @@ def unpack(data: bytes | memoryview, count: int, bits: int) -> np.ndarray:
     return np.packbits(whole, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
+def packed(ids: np.ndarray, at: np.ndarray, bits: int) -> pa.Array:
+    """The ids of each document (from one of ``at`` to the next) packed, as one Arrow array."""
+    if bits == 16:
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype("<i4").tobytes()), pa.py_buffer(pack(ids, bits))])
+    return pa.array([pack(ids[i:j], bits) for i, j in zip(at, at[1:], strict=False)], pa.binary())
+
+
 def write_file(doc_ids: list[int], ids: list[np.ndarray], bits: int) -> bytes:
     """One file of the given documents in the given order."""
     starts = np.zeros(len(ids) + 1, "<u8")
     np.cumsum([len(x) for x in ids], out=starts[1:])
     every = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-    if len(every) and int(every.max()) >> bits:
-        raise ValueError(f"an id needs over {bits} bits")
     blocks = [pack(every[i:i + BLOCK_IDS], bits) for i in range(0, len(every), BLOCK_IDS)]
     offsets = np.zeros(len(blocks) + 1, "<u8")
     np.cumsum([len(b) for b in blocks], out=offsets[1:])
@@ -114,16 +121,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
     bits = bits_for(vocabulary)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     n = min(MAX_RANGES, rows.count() // DOCS_PER_RANGE + 1)
-    cuts = np.asarray(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else [], np.float64)
+    cuts = np.asarray(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else [], np.float64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
-                raw = ids_of(part.column(1).to_pylist(), tokenizer, end_id)
-                ids = [pack(np.frombuffer(x, "<u4"), bits) for x in raw]
-                keys = part.column(0).to_numpy()
-                yield pa.record_batch({"place": pa.array(np.searchsorted(cuts, keys, side="left").astype(np.int32)), "doc_id": part.column(0), "n": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids": pa.array(ids, pa.binary())})
+            for i, n in slices(batch.column(1)):
+                part = batch.slice(i, n)
+                ids, at = encoder(tokenizer).encode_array(part.column(1), [end_id])
+                places = np.searchsorted(cuts, part.column(0).to_numpy(), side="left").astype(np.int32)
+                yield pa.record_batch({"place": pa.array(places), "doc_id": part.column(0), "n": pa.array(np.diff(at)), "ids": packed(ids, at, bits)})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, part, size, keys, held = -1, 0, 0, [], []
@@ -158,7 +164,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for place, part, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 f = TokenFile(content)
                 n = len(f.doc_ids)
-                crcs = [zlib.crc32(f.document(k).tobytes()) for k in range(n)]
+                every = memoryview(f.ids(0, f.n_ids).tobytes())
+                crcs = [zlib.crc32(every[4 * a:4 * b]) for a, b in zip(f.starts.tolist(), f.starts[1:].tolist(), strict=False)]
                 yield pa.record_batch({"place": pa.array([place] * n, pa.int32()), "part": pa.array([part] * n, pa.int32()), "doc_id": pa.array(f.doc_ids), "inside": pa.array(f.starts[:-1]), "n_tokens": pa.array(np.diff(f.starts)), "ids_crc32": pa.array(crcs, pa.int64())})
 
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not document

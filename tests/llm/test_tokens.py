@@ -1,10 +1,15 @@
+import random
+import struct
 import zlib
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mapweave.llm import encoding, packing, sentencepieces, token_files
@@ -23,7 +28,18 @@ def test_parts_encode_as_the_whole(text):
     for path in (WORDS, BYTES):
         e = encoding.encoder(path)
         want = e.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == want
+        assert e.encode([text])[0] == want
+
+
+def test_a_warm_encoder_gives_what_the_library_gives():
+    """One encoder over many texts full of marks in a row, special strings and odd spaces; what it met before changes nothing."""
+    pieces = [*" \n\t.,;:!?'\"()-aAéÖİßΟΔΣς9▁\r", "etc", "Etc.", "wait", "U.S.", "what", "pears,", "<|endoftext|>", "  ", "été", "OK"]
+    rng = random.Random(8)
+    for path in (WORDS, BYTES):
+        e = encoding.PartEncoder(path)
+        for _ in range(150):
+            texts = ["".join(rng.choice(pieces) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 25))) for _ in range(20)]
+            assert e.encode(texts) == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -31,8 +47,57 @@ def test_parts_encode_as_the_whole(text):
 def test_pieces_match_the_original(text):
     p, o = sentencepieces.pieces(PIECES), sentencepieces.original(PIECES)
     ids = p.encode([text])[0]
-    assert list(memoryview(ids).cast("I")) == o.encode(text)
-    assert p.decode(ids) == o.decode(o.encode(text))
+    assert ids == o.encode(text) and p.decode(ids) == o.decode(ids)
+
+
+def proto(number, value):
+    """One field of a protobuf message."""
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, bytes):
+        return varint(number << 3 | 2) + varint(len(value)) + value
+    return varint(number << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else varint(number << 3) + varint(value)
+
+
+def piece_model(kind, byte_fallback, charsmap, prefix, trim, inner, user=(), seed=3):
+    """A made-up model file: 400 pieces with distinct random scores over a small alphabet."""
+    rng = random.Random(seed)
+    words = list("▁abcdeé日.")
+    while len(words) < 400:
+        w = rng.choice(words) + rng.choice(words)
+        if len(w) < 7 and w not in words and (inner or "▁" not in w[1:]):
+            words.append(w)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] * byte_fallback + [(u, 0.0, 4) for u in user]
+    pieces += [(w, -float(k) if kind == 2 else -rng.uniform(2, 12), 1) for k, w in enumerate(words)]
+    out = b"".join(proto(1, proto(1, p.encode()) + proto(2, s) + proto(3, k)) for p, s, k in pieces)
+    out += proto(2, proto(3, kind) + proto(35, int(byte_fallback)))
+    return out + proto(3, (proto(2, charsmap) if charsmap else b"") + proto(3, prefix) + proto(4, trim) + proto(5, 1))
+
+
+@pytest.mark.parametrize("kind, byte_fallback, mapped", list(product((1, 2), (False, True), (False, True))))
+def test_every_kind_of_model_matches_the_original(kind, byte_fallback, mapped):
+    spec = dict(sentencepieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    charsmap = dict(sentencepieces.fields(spec))[2] if mapped else b""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b", "c", "d", "e", "é", " ", " ", "  ", "日", ".", "\n", "x", "A", "ａ", "ﬁ", "▁"]) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    texts += ["", " ", "   ", "the quick fox", "\nab", "<s>a", "a" * 3000]
+    for prefix, trim, inner in product((0, 1), (0, 1), (False, True)):
+        data = piece_model(kind, byte_fallback, charsmap, prefix, trim, inner)
+        ours, original = sentencepieces.Pieces.of(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        want = original.encode(texts)
+        assert ours.encode(texts) == want
+        assert [ours.decode(x) for x in want] == [original.decode(x) for x in want]
+        known = [x for x in want if 0 not in x]
+        assert [ours.tokenizer.decode(x) for x in known] == [original.decode(x) for x in known]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_symbols_of_the_user(kind):
+    data = piece_model(kind, False, b"", 1, 0, False, user=("<x>", "b.a"))
+    ours, original = sentencepieces.Pieces.of(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["a<x>b", "ab.ac", "<x>", "a <x> <x>b.ab.a", "ddd"]
+    assert ours.encode(texts) == original.encode(texts)
 
 
 @pytest.mark.parametrize("shorter, longer", [
@@ -42,7 +107,7 @@ def test_known_parts_don_t_change_longer_ones(shorter, longer):
     for path in (WORDS, BYTES):
         e = encoding.PartEncoder(path)
         for text in (f"a {shorter} b", f"a {longer} b"):
-            assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+            assert e.encode([text])[0] == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_full_cache_gives_the_same(monkeypatch):
@@ -54,11 +119,14 @@ def test_full_cache_gives_the_same(monkeypatch):
 
 
 def test_encode_documents(spark):
-    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (4, "x" * 50_000)]
+    rows = [(1, "Hello  world\n"), (2, None), (3, ""), (4, "x" * 50_000), (5, "\nHello world"), (6, " Hello")]
     out = {r["doc_id"]: r for r in sentencepieces.encode_documents(docs(spark, rows), PIECES).collect()}
     assert all(r["parity"] and r["round_trip"] for r in out.values()) and out[2]["n_tokens"] == 0
     back = sentencepieces.decode_documents(sentencepieces.encode_documents(docs(spark, rows), PIECES), PIECES)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in rows}
+    again = sentencepieces.encode_documents(docs(spark, [(1, "a b"), (1, "a b"), (None, "c")]).withColumn("ids", F.lit("x")), PIECES).collect()
+    assert len(again) == 3 and again[0] == again[1] and again[2]["doc_id"] is None
+    assert sentencepieces.encode_documents(docs(spark, []), PIECES).count() == 0
 
 
 @settings(max_examples=100, deadline=None)
@@ -122,6 +190,52 @@ def test_search_beats_best_fit():
     assert load.max() <= 1024 and len(np.unique(after)) < len(fills)
 
 
+def fewest(sizes, capacity):
+    """The fewest bins, by trying every assignment."""
+    best = len(sizes)
+
+    def go(k, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if k == len(sizes):
+            best = len(loads)
+            return
+        for i in range(len(loads)):
+            if loads[i] + sizes[k] <= capacity and loads[i] not in loads[:i]:
+                go(k + 1, [*loads[:i], loads[i] + sizes[k], *loads[i + 1:]])
+        go(k + 1, [*loads, sizes[k]])
+
+    go(0, [])
+    return best
+
+
+def test_small_packings_against_every_assignment():
+    rng = random.Random(6)
+    ours = best = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 10) for _ in range(rng.randint(1, 9))), reverse=True)
+        got = len(set(packing.pack_items(np.array(sizes, np.int64), 12).tolist()))
+        least = fewest(sizes, 12)
+        assert least <= got <= least + 1
+        ours, best = ours + got, best + least
+    assert ours <= 1.01 * best
+
+
+def test_two_items_that_are_not_neighbours_are_exchanged():
+    """10 goes in for 3 and 6, which have 5 between them in size; neighbours in size would not fit or gain."""
+    sizes = np.array([10, 3, 5, 6, 1])
+    to, back = packing._exchange(sizes, np.array([0, 1, 1, 1, 0]), np.array([11, 14]), np.array([4, 1]), 0, 10)
+    assert to == 1 and sorted(sizes[back].tolist()) == [3, 6]
+
+
+@pytest.mark.parametrize("sizes, fewest_bins", [([7] * 3000, 3000), ([1] * 5000, 417), ([12] * 50 + [5] * 50, 75), (list(range(1, 13)) * 100, 650)])
+def test_packing_of_ties(sizes, fewest_bins):
+    sizes = np.array(sizes, np.int64)
+    loads = np.bincount(packing.pack_items(sizes, 12), weights=sizes)
+    assert loads.max() <= 12 and fewest_bins <= len(loads) <= 1.01 * fewest_bins
+
+
 def test_pack_documents(spark):
     rows = [(k, "word " * (k % 90)) for k in range(300)] + [(500, None), (501, "long " * 5000), (7, "word " * 7)]
     out = packing.pack_documents(docs(spark, rows), BYTES, 2, 256, with_ids=True).collect()
