@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as hot when it holds over 1/HOT_SHARE of the rows, so fewer than HOT_SHARE keys are hot.
 HOT_SHARE = 256
+#: Stands for a null doc_id while rows are worked on: below every other.
+NO_ID = -(1 << 63)
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -37,6 +39,16 @@ def on_workers(spark: SparkSession) -> None:
         sys.path.append(root)
 
 
+def some_id(name: str = "doc_id") -> Column:
+    """A column of ids with NO_ID in place of null."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def given_id(name: str = "doc_id") -> Column:
+    """The other way round."""
+    return F.when(F.col(name) != NO_ID, F.col(name))
+
+
 def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function that hands free memory back when it ends: an idle Python worker still counts against its executor."""
     def run(batches: Iterator) -> Iterator:
@@ -51,11 +63,13 @@ def trimmed(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one under a local master and an error on a cluster."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mapweave-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, on_workers, stage
+from .common import documents, given_id, join_counted, on_workers, some_id, stage
 
 SLOTS = 4
 MAX_KICKS = 64
@@ -182,25 +182,26 @@ def update_index(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame
 
 def digests(docs: DataFrame) -> DataFrame:
     """(id, digest): SHA-256 of the whole text in UTF-8; null counts as empty."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest"))
+    return docs.select(some_id().alias("id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("digest"))
 
 
 def find_copies(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id (the largest doc_id with this text), group_size, kept, text_sha256.
 
-    A null doc_id counts as -1. Repeated rows of one doc_id count apiece and are all kept if it stays. An empty table gives no row.
+    A null doc_id is smaller than all others; if no row of a text has one, all its rows stay. Repeated rows of one doc_id
+    count apiece and are all kept if it stays. An empty table gives no row.
     """
     rows = stage(digests(docs), "digests")
     groups = stage(update_index(None, rows), "cuckoo-index").withColumnsRenamed({"id": "keep_id", "n": "group_size"})
     sized = groups.withColumn("_n", F.col("group_size"))
     joined = join_counted(rows, sized, "digest", "_n", rows.count(), F.col("id"))
-    return joined.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select(given_id("id").alias("doc_id"), given_id("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row of a larger doc_id has; all other columns stay. Rows that share both doc_id and text all stay or all go."""
-    gone = find_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct()
-    own = docs.withColumns({"__dedup_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__dedup_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
+    gone = find_copies(docs).where(~F.col("kept")).select(some_id().alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct()
+    own = docs.withColumns({"__dedup_id": some_id(), "__dedup_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
     return own.join(gone, ["__dedup_id", "__dedup_sha"], "left_anti").drop("__dedup_id", "__dedup_sha")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, on_workers, stage, trimmed
+from .common import documents, given_id, on_workers, some_id, stage, trimmed
 from .encoding import encoder, slices
 
 MAGIC = b"MWTK"
@@ -114,12 +114,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
 
     Files follow each other by (place, part). Documents go to ranges of doc_id (cut at approximate quantiles, which
     only balance the work), so one task never holds more than one file. Rows with one doc_id lie side by side. A null
-    text is empty and holds the end id alone; a null doc_id counts as -1. An empty table gives no file.
+    text is empty and holds the end id alone; rows without doc_id come first, under NO_ID. An empty table gives no file.
     """
     spark = docs.sparkSession
     on_workers(spark)
     bits = bits_for(vocabulary)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
+    rows = docs.select(some_id().alias("doc_id"), "text")
     n = min(MAX_RANGES, rows.count() // DOCS_PER_RANGE + 1)
     cuts = np.asarray(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else [], np.float64)
 
@@ -171,7 +171,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     before = Window.orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not document
     offsets = files.select("place", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
     read_back = files.select("place", "part", "content").mapInArrow(trimmed(read), "place int, part int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return read_back.join(offsets, ["place", "part"]).select("doc_id", (F.col("_base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "place", "part")
+    return read_back.join(offsets, ["place", "part"]).select(given_id().alias("doc_id"), (F.col("_base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "place", "part")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
