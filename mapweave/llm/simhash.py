@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, on_workers, stage, trimmed
+from .common import documents, join_counted, on_workers, some_id, stage, trimmed
 from .components import components
 
 BITS = 64
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             prints = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(prints.view(np.int64))})
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def _masks(low: int, high: int, flips: int) -> list[int]:
@@ -207,28 +207,43 @@ def near_edges(nodes: DataFrame, distance: int, bits: int) -> DataFrame:
 
 
 def find_near(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
-    """One row a document: doc_id, fingerprint, component_id (smallest doc_id that links of at most ``distance`` bits reach).
+    """One row a row of ``docs``: doc_id, fingerprint, component_id (smallest doc_id that links of at most ``distance`` bits reach).
 
-    Links need fingerprints only, so equal fingerprints are one node, named by its smallest doc_id. Null, empty and
-    wordless texts share fingerprint zero. A null doc_id counts as -1; an empty table gives no row.
+    Links need fingerprints only, so equal fingerprints are one node, and fingerprints name the nodes: neither repeated
+    nor null ids tie texts together. Null, empty and wordless texts share fingerprint zero. A component without any doc_id
+    has none; an empty table gives no row.
     """
+    on_workers(docs.sparkSession)
+    joined = _labelled(stage(fingerprints(docs, words), "fingerprints"), distance)
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(prints: DataFrame, distance: int) -> DataFrame:
+    """Staged rows (doc_id, fp) with their component_id."""
     if distance % 2:
         raise ValueError("distance must be even")
-    on_workers(docs.sparkSession)
-    prints = stage(fingerprints(docs, words), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fingerprint-nodes")
     count = nodes.count()
     bits = max(8, min(32, count.bit_length() - 6))
-    labels = components(near_edges(nodes.select("fp", "id"), distance, bits))
-    named = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component_id"))
-    joined = join_counted(prints, named, "fp", "n", prints.count(), F.col("doc_id"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = components(near_edges(nodes.select("fp", F.col("fp").alias("id")), distance, bits)).withColumnRenamed("node", "fp")
+    named = stage(nodes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "fingerprint-components")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("_size"))
+    known = join_counted(named, least, "component", "_size", count, F.col("fp")).select("fp", "n", "component_id")
+    return join_counted(prints, known, "fp", "n", prints.count(), F.col("doc_id"))
 
 
 def drop_near(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id."""
-    stays = find_near(docs, distance, words).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == stays["doc_id"], "left_semi")
+    """``docs`` with one document of each component: the one of the smallest doc_id (all rows of it that are in the component; a component without any doc_id stays whole)."""
+    on_workers(docs.sparkSession)
+
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t, words) for t in texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
+
+    own = docs.withColumns({"__near_fp": prints(F.col("text")), "__near_id": some_id()})
+    found = _labelled(stage(own.select(F.col("doc_id").cast("long"), F.col("__near_fp").alias("fp")), "fingerprints"), distance)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(some_id().alias("__near_id"), F.col("fp").alias("__near_fp")).distinct()
+    return own.join(stays, ["__near_id", "__near_fp"], "left_semi").drop("__near_id", "__near_fp")
 
 
 def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,9 +47,10 @@ def test_copies(spark):
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert len(got) == len(ROWS)
     for i, t in ROWS:
-        r = got[-1 if i is None else i, sha(t)]
-        group = [-1 if j is None else j for j, u in ROWS if (u or "") == (t or "")]
-        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(group), len(group), max(group) == (-1 if i is None else i))
+        r = got[i, sha(t)]
+        group = [j for j, u in ROWS if (u or "") == (t or "")]
+        top = max((j for j in group if j is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (top, len(group), top == i)
 
 
 def test_drop_copies_keeps_other_columns(spark):
@@ -137,6 +138,16 @@ def test_fingerprint_folds_ascii_case_only(text):
     assert simhash.fingerprint(text) == simhash.fingerprint(folded)
 
 
+def test_ids_tie_no_texts_together(spark):
+    """Repeated and null ids name rows of far-apart fingerprints."""
+    texts = [" ".join(f"{c}{k}" for k in range(200)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[1]), (5, texts[2]), (7, texts[2]), (9, texts[3]), (8, texts[3]), (None, texts[3])]
+    got = simhash.find_near(docs(spark, rows))
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got.collect()) == sorted([("None", "None"), ("None", "5"), ("5", "5"), ("5", "5"), ("7", "5"), ("9", "8"), ("8", "8"), ("None", "8")])
+    kept = simhash.drop_near(docs(spark, rows).selectExpr("*", "1 as fp", "2 as component_id")).collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("5", "b"), ("5", "c"), ("8", "d"), ("None", "a")]
+
+
 def test_odd_distance_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.find_near(docs(spark, []), distance=3)
