@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, on_workers
+from .common import documents, on_workers, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "name")
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_ip = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins where a run of digits does, as a run that it doesn't begin with can't begin one further on; so runs are read once.
+_ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
@@ -69,6 +70,11 @@ _word = re.compile(r"[\w-]+")
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "counter", "isolation")
 EM_ROUNDS = 50
 THRESHOLD = 0.5
+#: What the context labelers look at: the last words before a candidate. And the longest name before the @ of an address by its standard.
+CUE_WORDS, CUE_CHARS = 4, 40
+LOCAL_CHARS = 64
+#: Columns that ``find_spans`` adds.
+FOUND = (*(f"n_{k}" for k in BASE_KINDS), "n_spans", "base_sha256", "spans")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -86,6 +92,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """Certain spans: leftmost matches of each kind that don't overlap, without those that fail its test."""
     out: list[Span] = []
@@ -100,7 +112,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, free))
     if _digit.search(text):
         if "." in text:
-            out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+            out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(map(_octet, m[0].split(".")))]
         for m in _card.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -112,7 +124,7 @@ def base_spans(text: str) -> list[Span]:
 
 def _votes(text: str, kind: int, start: int, end: int, shape: int) -> tuple[int, ...]:
     body = text[start:end]
-    before = [w.lower() for w in _word.findall(text[max(0, start - 40):start])[-4:]]
+    before = [w.lower() for w in _word.findall(text[max(0, start - CUE_CHARS):start])[-CUE_WORDS:]]
     digits = "".join(c for c in body if c.isdigit())
     checksum = gazetteer = 0
     name = KINDS[kind]
@@ -168,7 +180,7 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[Span, int]]:
             propose(3, m.start(), m.end(), 1 if m[0][0] == "(" else 0)
     if " at" in text or "[at" in text or "(at" in text or "AT" in text or "arobase" in text:
         for m in _spelled.finditer(text):
-            left, right = _spelled_left.search(text, max(0, m.start() - 64), m.start()), _spelled_right.match(text, m.end())
+            left, right = _spelled_left.search(text, max(0, m.start() - LOCAL_CHARS - 1), m.start()),_spelled_right.match(text, m.end())
             if left and right and (m[0].strip("[]() ") != m[0].strip() or "dot" in right[0].lower()):
                 propose(0, left.start(), right.end(), 1 if m[0][0] in "[(" else 0)
     for m in _titled.finditer(text):
@@ -259,7 +271,7 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
                         seen[code] = seen.get(code, 0) + 1
         yield pa.record_batch({"code": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select(text).mapInArrow(codes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(trimmed(codes), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return SpanModel({r["code"]: r["n"] for r in counted.collect()})
 
 
@@ -290,25 +302,29 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
-    """Adds n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans; nothing is shuffled. A null text has no span."""
+    """``docs`` without its texts, with n_email, n_ip, n_card, n_phone (base spans), n_spans (all), base_sha256 and spans; nothing is shuffled.
+
+    A null or empty text has no span. One row a row of ``docs``, repeated ones too; columns of these names that it has already are replaced.
+    """
     on_workers(docs.sparkSession)
     accepted = docs.sparkSession.sparkContext.broadcast(model.accepted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, written = [], [], []
+            counts, digests, written, sizes = [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 base, every = spans_of(t or "", accepted.value)
                 counts.append([sum(1 for s in base if s[0] == k) for k in range(len(BASE_KINDS))])
                 digests.append(hashlib.sha256(_written(base).encode()).hexdigest())
                 written.append(_written(every))
-            out = dict(zip(batch.schema.names[:-1], batch.columns[:-1], strict=True))
+                sizes.append(len(every))
+            out =dict(zip(batch.schema.names[:-1], batch.columns[:-1], strict=True))
             out |= {f"n_{kind}": pa.array([c[k] for c in counts], pa.int64()) for k, kind in enumerate(BASE_KINDS)}
-            yield pa.record_batch(out | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(written, pa.string())})
+            yield pa.record_batch(out | {"n_spans": pa.array(sizes, pa.int64()), "base_sha256": pa.array(digests, pa.string()), "spans": pa.array(written, pa.string())})
 
-    rest = [c for c in docs.columns if c != text]
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string, spans string"])
-    return docs.select(*rest, text).mapInArrow(run, fields)
+    rest = [c for c in docs.columns if c != text and c not in FOUND]
+    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in FOUND)])
+    return docs.select(*(f"`{c}`" for c in rest), text).mapInArrow(trimmed(run), fields)
 
 
 def mask(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
@@ -316,9 +332,9 @@ def mask(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     on_workers(docs.sparkSession)
     accepted = docs.sparkSession.sparkContext.broadcast(model.accepted)
 
-    @F.udf("string", useArrow=True)
-    def run(t: str | None) -> str | None:
-        return redact(t, spans_of(t, accepted.value)[1]) if t else t
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([redact(t, spans_of(t, accepted.value)[1]) if t else t for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(text, run(F.col(text)))
 
