@@ -13,7 +13,7 @@ from .packing import op10_swap_packing
 from .pii import op8_pii_spans
 from .quality import op7_quality_mcd
 from .sentencepieces import op2_sentencepiece
-from .sharding import op9_jump_shards
+from .sharding import op9_jump_shards, op9_oracle
 from .simhash import op4_simhash_near
 from .token_files import op5_token_files
 
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jump_shards": op9_jump_shards,
     "op10_swap_packing": op10_swap_packing,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_ORACLE, "op9_jump_shards": op9_oracle()}

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,23 +48,23 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None) -> DataFrame:
     """Adds ``shard`` and ``grown_shard`` (with ``grown`` shards) by the integer column ``key``. No shuffle.
 
-    A null key counts as 0. Rows with equal keys share a shard. An empty table stays empty.
+    A null key counts as 0, whatever stands beside it. Rows with equal keys share a shard. An empty table stays empty.
+    Columns of these two names that ``df`` has already are replaced.
     """
     on_workers(df.sparkSession)
     grown = grown or shards + 1
 
-    @F.pandas_udf("struct<shard:int, grown_shard:int>")
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for ids in batches:
-            keys = ids.fillna(0).to_numpy(np.int64)
-            yield pd.DataFrame({"shard": jump_hash(keys, shards).astype(np.int32), "grown_shard": jump_hash(keys, grown).astype(np.int32)})
+    @F.arrow_udf("struct<shard:int, grown_shard:int>")
+    def place(ids: pa.Array) -> pa.Array:
+        keys = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(jump_hash(keys, n).astype(np.int32)) for n in (shards, grown)], ["shard", "grown_shard"])
 
     placed = df.withColumn("__slot_place", place(F.col(key).cast("long")))
     return placed.withColumns({"shard": F.col("__slot_place.shard"), "grown_shard": F.col("__slot_place.grown_shard")}).drop("__slot_place")
 
 
 def number_slots(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
-    """Adds ``slot``: each row's place in its ``shard`` by ``key`` (then ``ties``), from 0 without gaps.
+    """Adds ``slot``: each row's place in its ``shard`` by ``key`` (then ``ties``), from 0 without gaps; null keys come first.
 
     Rows are ranked in ranges of ``key`` inside a shard, and the rows of earlier ranges are added: no task
     sees a whole shard. The table of range sizes has shards x MAX_RANGES rows at most, so it may be broadcast.
@@ -74,11 +73,12 @@ def number_slots(df: DataFrame, key: str, ties: list[str]) -> DataFrame:
     n = max(1, min(MAX_RANGES, total // ROWS_PER_RANGE + 1))
     cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.asarray(cuts, np.float64), ids.fillna(0).to_numpy(np.float64), side="left").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        keys = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(np.asarray(cuts, np.float64), keys.astype(np.float64), side="left").astype(np.int32))
 
-    ranged = df.withColumn("__slot_range", range_of(F.col(key)) if cuts else F.lit(0))
+    ranged = df.withColumn("__slot_range", range_of(F.col(key).cast("long")) if cuts else F.lit(0))
     sizes = ranged.groupBy("shard", "__slot_range").count()
     before = Window.partitionBy("shard").orderBy("__slot_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "__slot_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__slot_before"))
@@ -100,8 +100,59 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFr
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def _op9_oracle(shards: int = 8) -> str:
-    """The same hash in SQL: products modulo 2^64 in 128-bit integers, and the walk unrolled, as each step raises the shard."""
+#: CRC-32: its polynomial, least bit first, and how many doublings reach a text's longest part in SQL (2^DOUBLINGS bytes).
+CRC_POLYNOMIAL = 0xEDB88320
+DOUBLINGS = 24
+
+
+def _crc_step(v: int) -> int:
+    """The remainder times x."""
+    return v >> 1 ^ (CRC_POLYNOMIAL if v & 1 else 0)
+
+
+def _crc_times(column: str, factor: int) -> str:
+    """SQL of the product of a remainder and a known one modulo the polynomial."""
+    terms = []
+    for bit in range(31, -1, -1):  # bit 31 is x^0
+        terms.append(f"(CASE WHEN ({column} & {1 << bit}) <> 0 THEN {factor} ELSE 0 END)")
+        factor = _crc_step(factor)
+    out = terms[0]
+    for t in terms[1:]:
+        out = f"xor({out}, {t})"
+    return out
+
+
+def crc32_sql(table: str) -> str:
+    """SQL of (doc_id, text_crc32) for a table (doc_id, text): the checksum is linear, so every byte adds its remainder by its place from the end."""
+    factor, eighth = 1 << 30, []
+    for _ in range(8):  # x^1 to x^8
+        eighth.append(factor)
+        factor = _crc_step(factor)
+    square, steps = eighth[7], ["p0 AS (SELECT k, 2147483648::BIGINT AS v FROM (SELECT unnest(range(0, (SELECT max(n) + 4 FROM texts))) AS k))"]
+    for j in range(DOUBLINGS):
+        steps.append(f"p{j + 1} AS (SELECT k, CASE WHEN (k & {1 << j}) <> 0 THEN {_crc_times('v', square)} ELSE v END AS v FROM p{j})")
+        new = 0
+        for bit in range(31, -1, -1):  # square of the factor
+            if square >> bit & 1:
+                part = square
+                for _ in range(31 - bit):
+                    part = _crc_step(part)
+                new ^= part
+        square = new
+    powers = ", ".join(f"{_crc_times('v', 1 << (31 - b))} AS v{b}" for b in range(8))  # x^(8k) to x^(8k + 7)
+    bits = "(CASE WHEN (b & {m}) <> 0 THEN v{p} ELSE 0 END)"
+    value = bits.format(m=1, p=7)
+    for bit in range(1, 8):
+        value = f"xor({value}, {bits.format(m=1 << bit, p=7 - bit)})"
+    return f"""texts AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM {table}), {', '.join(steps)},
+powers AS (SELECT k, {powers} FROM p{DOUBLINGS}),
+cut AS (SELECT doc_id, n, unnest(regexp_extract_all(hex(encode(t)), '..')) AS h, generate_subscripts(regexp_extract_all(hex(encode(t)), '..'), 1) AS i FROM texts WHERE n > 0),
+bytes AS (SELECT doc_id, n - i + 4 AS k, CAST('0x' || h AS BIGINT) AS b FROM cut UNION ALL SELECT doc_id, n + 3 - i, 255 FROM (SELECT doc_id, n, unnest(range(0, 4)) AS i FROM texts)),
+crcs AS (SELECT doc_id, xor(bit_xor({value}), 4294967295) AS text_crc32 FROM bytes JOIN powers USING (k) GROUP BY doc_id)"""
+
+
+def op9_oracle(shards: int = 8) -> str:
+    """The same in SQL: products modulo 2^64 in 128-bit integers, the walk unrolled (each step raises the shard), and the checksum by places. doc_id is unique and not null there."""
     mul = lambda a, c: f"CAST((CAST({a} AS UHUGEINT) * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
     shift = lambda n: f"xor(z, z >> {n})"
     steps = [
@@ -113,5 +164,6 @@ def _op9_oracle(shards: int = 8) -> str:
         moved = f"SELECT doc_id, text, CASE WHEN ahead < {shards + 1} THEN CAST(({mul('z', JUMP)}::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) ELSE z END AS z, CASE WHEN ahead < {shards} THEN ahead ELSE at8 END AS at8, CASE WHEN ahead < {shards + 1} THEN ahead ELSE at9 END AS at9, ahead FROM s{k}"
         steps.append(f"s{k + 1} AS (SELECT * REPLACE (CASE WHEN ahead < {shards + 1} THEN CAST(floor((at9 + 1) * (2147483648.0::DOUBLE / ((z >> 33) + 1)::DOUBLE)) AS BIGINT) ELSE ahead END AS ahead) FROM ({moved}))")
     return f"""WITH {', '.join(steps)},
-f AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, text, CAST(at8 AS INT) AS shard, CAST(at9 AS INT) AS grown_shard FROM s{shards + 1})
-SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM f"""
+f AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, text, CAST(at8 AS INT) AS shard, CAST(at9 AS INT) AS grown_shard FROM s{shards + 1}),
+{crc32_sql('documents')}
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM f JOIN crcs USING (doc_id)"""
