@@ -12,6 +12,7 @@ partition is hot.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, on_workers, trimmed
+from .common import documents, given_id, on_workers, some_id, trimmed
 
 ORDER = 3
 BACKOFF = 0.4
@@ -36,6 +37,8 @@ SHIPPED = ("part", "k", "batch", "steps", "weights", "keys", "counts")
 #: Documents of a batch at most; their places in it are 16 bits wide.
 BATCH_DOCS = 30_000
 BATCH_BYTES = 1 << 20
+GAPS = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+_gap = re.compile(rb"[\t-\r ]")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -74,16 +77,33 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _text_words(data: bytes) -> np.ndarray:
-    """Word hashes of one text of any length, cut at white space where it is longer than a batch (a longer word is cut hard)."""
+    """Word hashes of one text of any length; one longer than a batch is worked on in stretches of whole words."""
     parts, at = [], 0
     while len(data) - at > BATCH_BYTES:
-        piece = data[at:at + BATCH_BYTES]
-        cut = max(piece.rfind(b" "), piece.rfind(b"\n")) + 1 or BATCH_BYTES
-        parts.append(word_hashes(data[at:at + cut])[0])
-        at += cut
+        cut = max(data.rfind(c, at, at + BATCH_BYTES) for c in GAPS) + 1
+        if cut > at:
+            parts.append(word_hashes(data[at:cut])[0])
+            at = cut
+        else:
+            gap = _gap.search(data, at + BATCH_BYTES)
+            end = gap.start() if gap else len(data)
+            parts.append(_long_word(data[at:end]))
+            at = end
     return np.concatenate([*parts, word_hashes(data[at:])[0]])
 
 
+def _long_word(word: bytes) -> np.ndarray:
+    """The hash of one word that is longer than a batch, the same sum by stretches."""
+    up, total, scale = _powers()[0], 0, 1
+    for i in range(0, len(word), BATCH_BYTES):
+        part = LOWER[np.frombuffer(word, np.uint8, min(BATCH_BYTES, len(word) - i), i)]
+        with np.errstate(over="ignore"):
+            own = int(((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)]).sum(dtype=np.uint64))
+        total = total + scale * own & (1 << 64) - 1
+        scale = scale * pow(_BASE, len(part), 1 << 64) & (1 << 64) - 1
+    return _mix(np.array([total], np.uint64))
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, hashes of all words, number of words of each document) of stretches of whole documents."""
     for batch in batches:
@@ -136,11 +156,11 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score): natural log of each document's stupid-backoff score by the counts of all of ``docs``.
 
     The first word of a document stands for its share of all words. Null, empty and wordless texts score 0 with no words.
-    One row a row of ``docs``. A null doc_id counts as -1.
+    One row a row of ``docs``, repeated and null ids too.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
+    rows = docs.select(some_id().alias("doc_id"), "text")
     orders = range(1, order + 1)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +178,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     noted = rows.mapInArrow(trimmed(frequent), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
     totals = {r["key"]: r["n"] for r in noted.where("k = 0").collect()}
     if not totals:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_score"))
     limit = F.lit(0)
     for k in orders:
         limit = F.when(F.col("k") == k, totals.get(k, 0) // (2 * HOT_SHARE)).otherwise(limit)
@@ -284,7 +304,8 @@ def score_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     shipped = rows.mapInArrow(trimmed(ship), "part int, k int, batch long, steps binary, weights binary, keys binary, counts binary")
     deal = F.when(F.col("part") < 0, F.xxhash64("batch")).otherwise(F.col("part"))
     sums = shipped.repartition(parts, deal).sortWithinPartitions("part", "k").mapInArrow(trimmed(join), "batch long, own int, a binary, b binary, c binary")
-    return sums.repartition("batch").sortWithinPartitions("batch", "own").mapInArrow(trimmed(add_up), "doc_id long, n_words long, log_score double")
+    scored = sums.repartition("batch").sortWithinPartitions("batch", "own").mapInArrow(trimmed(add_up), "doc_id long, n_words long, log_score double")
+    return scored.withColumn("doc_id", given_id())
 
 
 def _runs(part: np.ndarray) -> list[tuple[int, int]]:
@@ -315,12 +336,12 @@ def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def exploded(docs: DataFrame, order: int) -> DataFrame:
-    """(doc_id, g1 .. g_order): a row a word, with the hashes of the n-grams that end there; null where a document has no such."""
+    """(row, doc_id, g1 .. g_order): a row a word, with the hashes of the n-grams that end there, null where a document has no such; one row of nulls for a document without words."""
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\x0B\f\r]+"), "")
-    df = docs.select("doc_id", words.alias("_w")).select("doc_id", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    rows = df.select("doc_id", "_h", F.posexplode("_h").alias("_i", "g1"))
+    df = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("_w")).select("row", "doc_id", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    rows = df.select("row", "doc_id", "_h", F.posexplode_outer("_h").alias("_i", "g1"))
     back = lambda n: F.when(F.col("_i") >= n - 1, F.xxhash64(F.lit(n), F.slice("_h", F.col("_i") - n + 2, F.lit(n))))
-    return rows.select("doc_id", "g1", *[back(n).alias(f"g{n}") for n in range(2, order + 1)], *[F.when(F.col("_i") >= n, F.xxhash64(F.lit(n), F.slice("_h", F.col("_i") - n + 1, F.lit(n))) if n > 1 else F.get("_h", F.col("_i") - 1)).alias(f"ctx{n}") for n in range(1, order)])
+    return rows.select("row", "doc_id", "g1", *[back(n).alias(f"g{n}") for n in range(2, order + 1)], *[F.when(F.col("_i") >= n, F.xxhash64(F.lit(n), F.slice("_h", F.col("_i") - n + 1, F.lit(n))) if n > 1 else F.get("_h", F.col("_i") - 1)).alias(f"ctx{n}") for n in range(1, order)])
 
 
 def count_tables(reference: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
@@ -330,7 +351,7 @@ def count_tables(reference: DataFrame, order: int = ORDER) -> dict[int, DataFram
 
 
 def score_against(docs: DataFrame, reference: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
-    """(doc_id, n_words, log_score) of documents by the counts of another corpus.
+    """(doc_id, n_words, log_score) of documents by the counts of another corpus; one row a row of ``docs``.
 
     Each word takes the longest n-gram that its table has: its count over that of its context, times ``backoff`` for every
     order given up; a word that the reference lacks counts as seen once among its words. Texts without words score 0.
@@ -346,8 +367,8 @@ def score_against(docs: DataFrame, reference: DataFrame, order: int = ORDER, bac
     score = F.log(share) + (order - 1) * math.log(backoff)
     for k in range(2, order + 1):
         score = F.when(F.col(f"n{k}").isNotNull(), F.log(F.col(f"n{k}") / F.col(f"m{k - 1}")) + (order - k) * math.log(backoff)).otherwise(score)
-    summed = rows.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(score).alias("log_score"))
-    return docs.select("doc_id").distinct().join(summed, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    summed = rows.groupBy("row", "doc_id").agg(F.count("g1").alias("n_words"), F.sum(F.when(F.col("g1").isNotNull(), score)).alias("log_score"))
+    return summed.select("doc_id", "n_words", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
