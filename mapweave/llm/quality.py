@@ -146,22 +146,31 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     verdict and keeps what passes the base rules. Null languages and sources are groups of their own.
     """
     names = list(STATISTICS)
-    named = docs.select("doc_id", F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    rows = _transformed(base_statistics(named, "_text").drop("_text"))
-    rows = _grouped(stage(rows, "text-statistics"))
-    rows = stage(rows, "grouped-statistics")
-    usable = rows.where(~F.col("base_failed")).select("g", *names)
+    measured = _measured(docs.select("doc_id", F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text")), drop="_text")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"), "kept", *names)
+
+
+def _measured(named: DataFrame, drop: str) -> DataFrame:
+    """Rows with lang, source and _text, with their statistics, d2 and kept; the column ``drop`` goes early."""
+    names = list(STATISTICS)
+    staged = stage(_transformed(base_statistics(named, "_text").drop(drop)), "text-statistics")
+    rows = _grouped(staged)
+    grouped = stage(rows.select("g", "base_failed", *names), "grouped-statistics")  # what the estimates read, without the texts
+    usable = grouped.where(~F.col("base_failed")).select("g", *names)
     found = estimates(usable, names)
-    found = found.join(F.broadcast(usable.groupBy("g").count()), "g").where(F.col("count") >= MIN_GROUP // 10).drop("count")
-    measured = _distance(rows.join(F.broadcast(found), "g", "left"), names)
-    ok = F.coalesce(F.col("d2") <= CHI2_CUT, F.lit(True))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"), (~F.col("base_failed") & ok).alias("kept"), *names)
+    enough = stage(found.join(F.broadcast(usable.groupBy("g").count()), "g").where(F.col("count") >= MIN_GROUP // 10).drop("count"), "estimates")
+    unstage(grouped)
+    far = _distance(rows.join(F.broadcast(enough), "g", "left"), names)
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CHI2_CUT, F.lit(True)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the rules reject; all columns stay. Rows of one doc_id go if any of them is rejected."""
-    bad = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the rows that the rules reject, each by its own text; all columns stay.
+
+    The rows are staged beside their statistics, and the estimates (bounded by MAX_GROUPS) come to them: no text is shuffled.
+    """
+    named = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), "lang", "source", F.col("text").alias("_text"))
+    return _measured(named, drop="_text").where("kept").select("_doc.*")
 
 
 def op7_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
