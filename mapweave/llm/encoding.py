@@ -19,13 +19,13 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Parts that the table of a worker process keeps; later ones are encoded in each batch that has them.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Longer parts are not kept.
 CACHE_CHARS = 64
 #: Parts handed to the library at once.
 BATCH = 4096
 #: Bytes of text put together at once; a longer text goes alone.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 
 #: Marks that may end a word of the short way, and the end of the letters it takes.
 MARKS = ".,;:!?"
