@@ -117,8 +117,8 @@ def point_in_edges(x: Column, y: Column, edges: Column | str) -> Column:
 
 def distance_sq(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Squared distance in radians on a plane scaled by the cosine of the first latitude."""
-    dy = F.radians((lat2 - lat1) / F.lit(1e7))
-    dx = F.radians((lon2 - lon1) / F.lit(1e7)) * F.cos(F.radians(lat1 / F.lit(1e7)))
+    dy = F.radians((lat2 - lat1.cast("double")) / F.lit(1e7))
+    dx = F.radians((lon2 - lon1.cast("double")) / F.lit(1e7)) * F.cos(F.radians(lat1 / F.lit(1e7)))
     return dx * dx + dy * dy
 
 
@@ -129,7 +129,8 @@ def metres(rad_sq: Column) -> Column:
 def segment_t(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Where on a segment, from 0 to 1, the point nearest to (lat, lon) lies."""
     k = F.cos(F.radians(lat / F.lit(1e7)))
-    ax, ay, bx, by = (lon1 - lon) * k, (lat1 - lat) * F.lit(1.0), (lon2 - lon) * k, (lat2 - lat) * F.lit(1.0)
+    lat, lon = lat.cast("double"), lon.cast("double")  # differences of longitudes don't fit 32 bits
+    ax, ay, bx, by = (lon1 - lon) * k, lat1 - lat, (lon2 - lon) * k, lat2 - lat
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
     return F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / size)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions.tags import Expression, matches
 from mapweave.model import Dataset
-from mapweave.plans.fixpoint import closure
+from mapweave.operators.fixpoint import closure
 
 ATTRIBUTES = ("version", "changeset", "timestamp", "uid", "user")
 

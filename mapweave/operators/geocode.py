@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mapweave.functions.geo import EARTH_M, distance_sq, metres, point_in_edges, segment_t
 from mapweave.functions.tags import tag_value
 from mapweave.model import Dataset
+from mapweave.operators.fixpoint import checkpointed
 
 #: Classes of ways that are no streets (fixed values).
 EXCLUDED_HIGHWAYS = ("footway", "path", "track", "steps", "cycleway", "service", "pedestrian", "bridleway", "construction")
@@ -20,8 +21,8 @@ EXCLUDED_HIGHWAYS = ("footway", "path", "track", "steps", "cycleway", "service",
 NEAR_M, FAR_M = 75.0, 1000.0
 #: Metres of a degree of latitude.
 DEGREE_M = EARTH_M * 3.141592653589793 / 180
-#: A cell's side in columns must hold the radius where meridians are close: cells widen with latitude band up to this latitude.
-MAX_LAT = 85.0
+#: Units of the whole circle.
+CIRCLE = 3_600_000_000
 MAX_RING = 500
 POSTAL_LEVEL = 11
 
@@ -76,31 +77,39 @@ def _side(radius: float) -> float:
     return radius / DEGREE_M * 1e7 * 1.01
 
 
-def _columns(lat: Column, radius: float) -> Column:
-    """The side of cells in longitude in the row's latitude band, wide enough at the band's far edge."""
-    edge = F.least(F.abs(lat / F.lit(1e7)) + 2 * _side(radius) / 1e7, F.lit(MAX_LAT))
-    return F.lit(_side(radius)) / F.cos(F.radians(F.ceil(edge)))
+def _columns(row: Column, radius: float) -> Column:
+    """How many cells a row of cells has around the circle: as many as are wide enough for the radius at the far edge of the rows beside it, and one near the poles."""
+    edge = F.least((F.abs(row) + 2) * F.lit(_side(radius) / 1e7), F.lit(90.0))
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(float(CIRCLE) / _side(radius)) * F.cos(F.radians(edge))))
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    """The cell of a longitude in its row, before it is taken around the circle."""
+    return F.floor((lon + F.lit(CIRCLE / 2)) * columns / F.lit(float(CIRCLE))).cast("bigint")
+
+
+def _row(lat: Column, radius: float) -> Column:
+    return F.floor(lat / F.lit(_side(radius))).cast("bigint")
 
 
 def _cells(lat: Column, lon: Column, radius: float) -> tuple[Column, Column]:
-    row = F.floor(lat / F.lit(_side(radius)))
-    # one side for a whole row of cells, so all features of a row agree on it
-    mid = row * F.lit(_side(radius))
-    return row.cast("bigint"), F.floor(lon / _columns(mid, radius)).cast("bigint")
+    row = _row(lat, radius)
+    return row, F.pmod(_column(lon, _columns(row, radius)), _columns(row, radius))
 
 
 def _near(queries: DataFrame, radius: float) -> DataFrame:
-    """Queries (q, qlat, qlon) once for each of their three by three cells; columns are those of the neighbouring row."""
-    row = F.floor(F.col("qlat") / F.lit(_side(radius))).cast("bigint")
+    """Queries (q, qlat, qlon) once for each of their three by three cells, around the circle; columns are those of the neighbouring row."""
+    row = _row(F.col("qlat"), radius)
     rows = queries.withColumn("_y", F.explode(F.array(row - 1, row, row + 1)))
-    wide = _columns(F.col("_y") * F.lit(_side(radius)), radius)
-    return rows.withColumn("_x", F.explode(F.sequence(F.floor(F.col("qlon") / wide).cast("bigint") - 1, F.floor(F.col("qlon") / wide).cast("bigint") + 1)))
+    columns = _columns(F.col("_y"), radius)
+    own = _column(F.col("qlon"), columns)
+    return rows.withColumn("_x", F.explode(F.array_distinct(F.array(*[F.pmod(own + k, columns) for k in (-1, 0, 1)]))))
 
 
-def near_points(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """All (query, point) within the radius, with ``d2`` in squared radians."""
+def near_points(queries: DataFrame, points: DataFrame, radius: float, also: tuple[str, ...] = ()) -> DataFrame:
+    """All (query, point) within the radius, with ``d2`` in squared radians; where ``also`` names columns of both, only those with equal ones."""
     y, x = _cells(F.col("lat_e7"), F.col("lon_e7"), radius)
-    met = _near(queries, radius).join(points.withColumns({"_y": y, "_x": x}), ["_y", "_x"]).drop("_y", "_x")
+    met = _near(queries, radius).join(points.withColumns({"_y": y, "_x": x}), ["_y", "_x", *also]).drop("_y", "_x")
     return met.withColumn("d2", distance_sq(F.col("qlat"), F.col("qlon"), F.col("lat_e7"), F.col("lon_e7"))).where(metres(F.col("d2")) < radius)
 
 
@@ -109,13 +118,13 @@ def near_segments(queries: DataFrame, segs: DataFrame, radius: float) -> DataFra
 
     A segment is indexed in every cell that its box touches.
     """
-    side = F.lit(_side(radius))
-    rows = segs.withColumn("_y", F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / side).cast("bigint"), F.floor(F.greatest("lat1", "lat2") / side).cast("bigint"))))
-    wide = _columns(F.col("_y") * side, radius)
-    rows = rows.withColumn("_x", F.explode(F.sequence(F.floor(F.least("lon1", "lon2") / wide).cast("bigint"), F.floor(F.greatest("lon1", "lon2") / wide).cast("bigint"))))
+    rows = segs.withColumn("_y", F.explode(F.sequence(_row(F.least("lat1", "lat2"), radius), _row(F.greatest("lat1", "lat2"), radius))))
+    columns = _columns(F.col("_y"), radius)
+    span = F.sequence(_column(F.least("lon1", "lon2"), columns), _column(F.greatest("lon1", "lon2"), columns))
+    rows = rows.withColumn("_x", F.explode(F.array_distinct(F.transform(span, lambda x: F.pmod(x, columns)))))
     met = _near(queries, radius).join(rows, ["_y", "_x"]).drop("_y", "_x").dropDuplicates(["q", "id", "seg"])
     at = met.withColumn("t", segment_t(F.col("qlat"), F.col("qlon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
-    lat, lon = F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1")), F.col("lon1") + F.col("t") * (F.col("lon2") - F.col("lon1"))
+    lat, lon = F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1").cast("double")), F.col("lon1") + F.col("t") * (F.col("lon2") - F.col("lon1").cast("double"))
     return at.withColumn("d2", distance_sq(F.col("qlat"), F.col("qlon"), lat, lon)).where(metres(F.col("d2")) < radius)
 
 
@@ -129,9 +138,9 @@ def interp_endpoints(ways: DataFrame, addrs: DataFrame, radius: float = NEAR_M)
     """(id, start_number, end_number): house numbers of the nearest addresses of the same street at both ends; ways with an end unresolved get 0 and 0."""
     first, last = F.element_at("path", 1), F.element_at("path", -1)
     ends = ways.select("id", "street", F.explode(F.array(F.struct(F.lit(0).alias("e"), first.alias("p")), F.struct(F.lit(1).alias("e"), last.alias("p")))).alias("x"))
-    queries = ends.select(F.struct("id", F.col("x.e").alias("e")).alias("q"), F.col("street").alias("qstreet"), F.col("x.p.lat_e7").alias("qlat"), F.col("x.p.lon_e7").alias("qlon"))
-    near = near_points(queries, addrs, radius).where("qstreet = street")
-    flat = (F.col("lat_e7") - F.col("qlat")).cast("bigint"), (F.col("lon_e7") - F.col("qlon")).cast("bigint")
+    queries = ends.select(F.struct("id", F.col("x.e").alias("e")).alias("q"), "street", F.col("x.p.lat_e7").alias("qlat"), F.col("x.p.lon_e7").alias("qlon"))
+    near = near_points(queries, addrs, radius, also=("street",))
+    flat = F.col("lat_e7").cast("bigint") - F.col("qlat"), F.col("lon_e7").cast("bigint") - F.col("qlon")
     near = near.withColumn("_flat", flat[0] * flat[0] + flat[1] * flat[1])
     best = near.groupBy("q").agg(F.min_by("number", F.struct("_flat", "source", "id")).alias("number")).select("q.id", "q.e", house_number("number").alias("n"))
     both = best.where("n > 0").groupBy("id").agg(F.max(F.when(F.col("e") == 0, F.col("n"))).alias("a"), F.max(F.when(F.col("e") == 1, F.col("n"))).alias("b"))
@@ -157,7 +166,7 @@ def interpolate(start: Column, end: Column, itype: Column, share: Column) -> Col
 def interpolation_matches(found: DataFrame) -> DataFrame:
     """Adds ``house`` to near segments of interpolation ways that carry path, start_number, end_number and itype."""
     before = path_length(F.slice("path", 1, F.col("seg") + 1))
-    part = F.sqrt(distance_sq(F.col("lat1"), F.col("lon1"), F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1")), F.col("lon1") + F.col("t") * (F.col("lon2") - F.col("lon1"))))
+    part = F.sqrt(distance_sq(F.col("lat1"), F.col("lon1"), F.col("lat1") + F.col("t") * (F.col("lat2") - F.col("lat1").cast("double")), F.col("lon1") + F.col("t") * (F.col("lon2") - F.col("lon1").cast("double"))))
     whole = path_length("path")
     share = F.when(whole >= 1e-15, (before + part) / whole)
     return found.withColumn("house", interpolate(F.col("start_number"), F.col("end_number"), F.col("itype"), share)).where("house is not null")
@@ -291,7 +300,7 @@ def reverse(queries: DataFrame, addrs: DataFrame, street_segs: DataFrame, interp
         top = found.groupBy("q", "what").agg(F.min_by(F.struct("id", "label", "number", "metres"), F.struct("metres", "id")).alias("b"))
         return top.select("q", "what", "b.*")
 
-    first = best(candidates(queries, addrs, street_segs, interp_segs, near))
+    first = checkpointed(best(candidates(queries, addrs, street_segs, interp_segs, near)))
     settled = first.where("what in ('street', 'address')").select("q").distinct()
     rest = queries.join(settled, "q", "left_anti")
     again = best(candidates(rest, addrs, street_segs, interp_segs, far))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mapweave.model import Dataset, id_key
+from mapweave.operators.fixpoint import checkpointed
 
 #: Elements that a block holds by default (fixed value).
 BLOCK = 8000
@@ -27,16 +28,32 @@ def sort_elements(df: DataFrame) -> DataFrame:
     return df.orderBy(kind_rank(), *id_key(), F.col("version").asc_nulls_first()) if "version" in df.columns else df.orderBy(kind_rank(), *id_key())
 
 
-def numbered(df: DataFrame, by: list[str], key: Column, parts: int = 64) -> DataFrame:
+#: Rows that one task numbers, about, and ranges at most.
+RANGE_ROWS = 2_000_000
+MAX_RANGES = 8192
+
+
+def range_of(key: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are below the key, by halving."""
+    bounds, step = F.array(*map(F.lit, cuts)), 1 << max(0, len(cuts).bit_length() - 1)
+    steps = []
+    while step:
+        steps.append(step)
+        step >>= 1
+    further = lambda at, s: F.when(F.get(bounds, at + s - 1) < key, at + s).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
+def numbered(df: DataFrame, by: list[str], key: Column, parts: int | None = None) -> DataFrame:
     """Adds ``place``: each row's number from 0 in its group ``by``, in the order of the integer ``key`` (unique in a group).
 
     Rows are numbered in ranges of the key and the sizes of a group's earlier ranges added, so no task sees a whole
-    group. Ranges are cut at approximate quantiles, which only balance the work.
+    group. There is a range for about RANGE_ROWS rows, cut at approximate quantiles, which only balance the work.
     """
     rows = df.withColumn("_key", key)
+    parts = parts or min(MAX_RANGES, df.count() // RANGE_ROWS + 1)
     cuts = sorted(set(rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    ranged = rows.withColumn("_part", F.size(F.filter(bounds, lambda c: F.col("_key").cast("double") > c)) if cuts else F.lit(0))
+    ranged = rows.withColumn("_part", range_of(F.col("_key").cast("double"), [float(c) for c in cuts]) if cuts else F.lit(0))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*by, "_part").count().select(*by, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key")))
@@ -49,12 +66,23 @@ def canonical(column: str = "id") -> Column:
     return F.when(c > 0, c).otherwise(F.lit(-(1 << 62)) - c)
 
 
-def rank_by_id(ids: DataFrame, start: int = 0, parts: int = 64) -> DataFrame:
+def rank_by_id(ids: DataFrame, start: int = 0, parts: int | None = None) -> DataFrame:
     """(id, new_id): ``start`` plus the rank of each id in ascending order."""
     ranked = numbered(ids.select("id", F.lit(0).alias("_all")).distinct(), ["_all"], F.col("id"), parts)
     return ranked.select("id", (F.col("place") + start).alias("new_id"))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds ``place``: each row's number from 0 in the order that ``df`` stands in, by its partitions and inside them.
+
+    The ordered rows are written once, so that both looks at them see the same partitions; the table of their sizes has a row a partition.
+    """
+    rows = checkpointed(df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+
+
 #: Places that one task compares at once.
 STRETCH = 1_000_000
 
@@ -134,11 +162,19 @@ def type_order(df: DataFrame) -> DataFrame:
 
 
 def segments(block_table: DataFrame) -> DataFrame:
-    """Runs of one kind in a table of blocks (block, kind): (segment, kind, n_blocks). Blocks are few, so one window orders them."""
-    w = Window.orderBy("block")
-    starts = block_table.withColumn("_new", F.when(F.col("kind") == F.lag("kind").over(w), 0).otherwise(1))
-    numbered = starts.withColumn("segment", F.sum("_new").over(w))
-    return numbered.groupBy("segment", "kind").agg(F.count("*").alias("n_blocks"))
+    """Runs of one kind in a table of blocks (block, kind): (segment, kind, n_blocks).
+
+    Runs are counted inside stretches of blocks; a stretch takes the kind before it and the runs of earlier ones from a table with a row a stretch.
+    """
+    rows = block_table.withColumn("_stretch", F.floor(F.col("block") / F.lit(float(STRETCH))))
+    inside, over = Window.partitionBy("_stretch").orderBy("block"), Window.orderBy("_stretch")
+    starts = rows.withColumn("_new", F.when(F.col("kind") == F.lag("kind").over(inside), 0).otherwise(1))
+    ends = starts.groupBy("_stretch").agg(F.min_by("kind", "block").alias("_first"), F.max_by("kind", "block").alias("_last"), F.sum("_new").alias("_runs"))
+    joined = F.when(F.col("_first") == F.lag("_last").over(over), 1).otherwise(0)  # the first run goes on from the stretch before
+    ends = ends.withColumn("_joined", joined).withColumn("_own", F.col("_runs") - F.col("_joined"))
+    ends = ends.select("_stretch", (F.coalesce(F.sum("_own").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_joined")).alias("_before"))
+    named = starts.withColumn("_run", F.sum("_new").over(inside)).join(F.broadcast(ends), "_stretch").withColumn("segment", F.col("_run") + F.col("_before"))
+    return named.groupBy("segment", "kind").agg(F.count("*").alias("n_blocks"))
 
 
 def missing_refs(ds: Dataset) -> DataFrame:

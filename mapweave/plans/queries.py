@@ -9,7 +9,6 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mapweave.functions.geo import Box, Region, cell, degrees
 from mapweave.functions.tags import matches, parse_lines
@@ -24,10 +23,9 @@ from mapweave.operators import ids as idops
 from mapweave.operators import inspect as ins
 from mapweave.operators import locations as lc
 from mapweave.operators import ordering as od
-
+from mapweave.operators.fixpoint import shared_folder
 from mapweave.sources import osc, pbf
 
-from .fixpoint import shared_folder
 from .views import Graph, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,6 +384,30 @@ def _(g):
     return df_.diff(g.nodes, new_nodes(g), "n").select("id", "status")
 
 
+_CHANGED = "CASE WHEN id%13=0 THEN 'deleted' WHEN ({parts} AND id%17=0) OR id%19=0 THEN 'modified' ELSE 'common' END AS status"
+
+
+def _changed(rows: DataFrame, items: str, other: Column) -> DataFrame:
+    """A later state of ways or relations: some are gone, some have other parts, some a tag more, some are new."""
+    kept = rows.where("id % 13 <> 0").withColumn(items, F.when(F.col("id") % 17 == 0, other).otherwise(F.col(items)))
+    more = F.concat("tags", F.array(F.struct(F.lit("note").alias("k"), F.lit("new").alias("v"))))
+    kept = kept.withColumn("tags", F.when(F.col("id") % 19 == 0, more).otherwise(F.col("tags")))
+    return kept.unionByName(rows.where("id % 23 = 0").withColumn("id", F.col("id") + 100_000_000))
+
+
+@query("diff_ways", f"SELECT id, {_CHANGED.format(parts='id IN (SELECT way_id FROM way_refs)')} FROM ways UNION ALL SELECT id+100000000, 'created' FROM ways WHERE id%23=0")
+def _(g):
+    ways = g.nested.ways
+    return df_.diff(ways, _changed(ways, "refs", F.concat("refs", F.array(F.lit(0).cast("bigint")))), "w").select("id", "status")
+
+
+@query("diff_relations", f"SELECT id, {_CHANGED.format(parts='id IN (SELECT rel_id FROM rel_members)')} FROM rels UNION ALL SELECT id+100000000, 'created' FROM rels WHERE id%23=0")
+def _(g):
+    rels = g.nested.relations
+    other = F.transform("members", lambda m, i: F.when(i == 0, m.withField("role", F.concat(m["role"], F.lit("x")))).otherwise(m))
+    return df_.diff(rels, _changed(rels, "members", other), "r").select("id", "status")
+
+
 @query("diff_text", "SELECT id, CASE status WHEN 'created' THEN '+' WHEN 'deleted' THEN '-' ELSE '*' END || 'n' || CAST(id AS VARCHAR) AS line FROM d WHERE status<>'common'", NEW)
 def _(g):
     return df_.lines(df_.diff(g.nodes, new_nodes(g), "n"), suppress_common=True).select("id", "line")
@@ -474,9 +496,9 @@ def _(g):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query("sort_rows", "SELECT kind, id FROM elements")
+@query("sort_rows", "SELECT kind, id, row_number() OVER (ORDER BY CASE kind WHEN 'n' THEN 0 WHEN 'w' THEN 1 ELSE 2 END, id)-1 AS place FROM elements")
 def _(g):
-    return od.sort_elements(g.dataset.ids())
+    return od.placed(od.sort_elements(g.dataset.ids()))
 
 
 @query("renumber", "SELECT r.way_id AS old_way, w.new_id AS way_id, r.pos, n.new_id AS node_id FROM way_refs r JOIN wm w ON w.id=r.way_id JOIN nm n ON n.id=r.node_id", "wm AS (SELECT id, row_number() OVER (ORDER BY id) AS new_id FROM ways), nm AS (SELECT id, row_number() OVER (ORDER BY id) AS new_id FROM nodes)")
@@ -557,8 +579,9 @@ _POS = "p AS (SELECT kind, id, row_number() OVER (ORDER BY id, kind) AS pos FROM
 
 @query("check_type_order", "SELECT * FROM (SELECT 'n' AS before, 'w' AS after, (SELECT min(pos) FROM p WHERE kind='w') AS first_after, (SELECT max(pos) FROM p WHERE kind='n') AS last_before UNION ALL SELECT 'w','r',(SELECT min(pos) FROM p WHERE kind='r'),(SELECT max(pos) FROM p WHERE kind='w')) WHERE first_after<last_before", _POS)
 def _(g):
-    rows = g.dataset.ids().withColumn("pos", F.row_number().over(Window.orderBy("id", "kind")).cast("bigint"))
-    return od.type_order(rows)
+    rank = F.when(F.col("kind") == "n", 0).when(F.col("kind") == "r", 1).otherwise(2)
+    rows = od.numbered(g.dataset.ids().withColumn("_all", F.lit(0)), ["_all"], F.col("id") * 4 + rank)
+    return od.type_order(rows.select("kind", "id", (F.col("place") + 1).alias("pos")))
 
 
 _BLOCKTABLE = "bt AS (SELECT row_number() OVER (ORDER BY id%4, kind, id)-1 AS block, kind FROM (SELECT kind, min(id) AS id FROM elements GROUP BY kind, id//300))"
@@ -567,8 +590,9 @@ _BLOCKTABLE = "bt AS (SELECT row_number() OVER (ORDER BY id%4, kind, id)-1 AS bl
 @query("ordering_segments", "SELECT CAST(segment AS BIGINT) AS segment, kind, count(*) AS n_blocks FROM (SELECT *, sum(nw) OVER (ORDER BY block) AS segment FROM (SELECT *, CASE WHEN kind=lag(kind) OVER (ORDER BY block) THEN 0 ELSE 1 END AS nw FROM bt)) GROUP BY 1,2", _BLOCKTABLE)
 def _(g):
     firsts = g.dataset.ids().groupBy("kind", F.floor(F.col("id") / F.lit(300.0)).alias("_b")).agg(F.min("id").alias("id"))
-    table = firsts.withColumn("block", F.row_number().over(Window.orderBy(F.col("id") % 4, "kind", "id")) - 1)
-    return od.segments(table.select("block", "kind"))
+    rank = F.when(F.col("kind") == "n", 0).when(F.col("kind") == "r", 1).otherwise(2)
+    table = od.numbered(firsts.withColumn("_all", F.lit(0)), ["_all"], (F.col("id") % 4 * 4 + rank) * F.lit(1 << 40) + F.col("id"))
+    return od.segments(table.select(F.col("place").alias("block"), "kind"))
 
 
 @query("check_refs_ways", "SELECT way_id, node_id FROM way_refs WHERE node_id NOT IN (SELECT id FROM nodes WHERE id%50<>0)")
@@ -622,9 +646,8 @@ def _(g):
 
 # -- statistics
 
-_TAGS = "SELECT k, v, count(*) AS n FROM elem_tags GROUP BY k, v"
-for _sort in ("count_desc", "count_asc", "name_asc", "name_desc"):
-    query(f"tags_count_{_sort}", _TAGS)(lambda g, s=_sort: ins.tags_count(g.dataset, sort=s))
+for _sort, _order in (("count_desc", "n DESC, k, v"), ("count_asc", "n, k, v"), ("name_asc", "k, v"), ("name_desc", "k DESC, v DESC")):
+    query(f"tags_count_{_sort}", f"SELECT k, v, n, row_number() OVER (ORDER BY {_order})-1 AS place FROM (SELECT k, v, count(*) AS n FROM elem_tags GROUP BY k, v)")(lambda g, s=_sort: od.placed(ins.tags_count(g.dataset, sort=s)))
 
 
 @query("tags_count", "SELECT k, v, count(*) AS n FROM elem_tags WHERE (kind='w' AND k='highway') OR k='size' GROUP BY k, v HAVING count(*)>=20 AND count(*)<=5000")
@@ -859,7 +882,7 @@ def _as_elements(g: Graph) -> DataFrame:
 
 def _written(g: Graph, compression: str = "zlib") -> str:
     path = _path(g)
-    pbf.write_pbf(_as_elements(g).coalesce(2), path, compression)
+    pbf.write_pbf(_as_elements(g), path, compression)
     return path
 
 

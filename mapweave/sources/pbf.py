@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from mapweave.model import Dataset, id_key
 from mapweave.schema import ELEMENTS
@@ -47,9 +49,36 @@ class Blobs(InputPartition):
         self.path, self.spans = path, spans
 
 
+COLUMNS = ("kind", "id", "lat_e7", "lon_e7")
+
+
 class PbfReader(DataSourceReader):
-    def __init__(self, path: str, kinds: str):
-        self.path, self.kinds = path, kinds
+    """Filters on kind, id and coordinates choose blobs by the indexes in their headers; blobs without one are read. Spark filters the rows again."""
+
+    def __init__(self, path: str, kinds: str, box: tuple[int, int, int, int] | None = None):
+        self.path, self.kinds, self.box, self.ids = path, kinds, box, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        low = dict.fromkeys(COLUMNS[1:], -(1 << 63))
+        high = dict.fromkeys(COLUMNS[1:], (1 << 63) - 1)
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name == "kind" and isinstance(f, (EqualTo, In)):
+                values = [f.value] if isinstance(f, EqualTo) else f.value
+                self.kinds = "".join(k for k in self.kinds if k in values)
+            elif name in low and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)):
+                values = list(f.value) if isinstance(f, In) else [f.value]
+                if values and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, In)):
+                    low[name] = max(low[name], min(values))
+                if values and isinstance(f, (EqualTo, LessThan, LessThanOrEqual, In)):
+                    high[name] = min(high[name], max(values))
+            yield f
+        self.ids = low["id"], high["id"]
+        own = low["lat_e7"], low["lon_e7"], high["lat_e7"], high["lon_e7"]
+        self.box = own if self.box is None else (*map(max, own[:2], self.box[:2]), *map(min, own[2:], self.box[2:]))
+
+    def wanted(self, index: wire.Index | None) -> bool:
+        return index is None or index.may_hold(self.kinds, self.box, self.ids)
 
     def partitions(self) -> list[Blobs]:
         out = []
@@ -57,8 +86,8 @@ class PbfReader(DataSourceReader):
             store, at = _store(path)
             with store.open_input_file(at) as f:
                 spans, size = [], 0
-                for kind, offset, length in wire.walk(f):
-                    if kind != "OSMData":
+                for kind, offset, length, index in wire.walk_indexed(f):
+                    if kind != "OSMData" or not self.wanted(index):
                         continue
                     spans.append((offset, length))
                     size += length
@@ -79,9 +108,8 @@ class PbfReader(DataSourceReader):
                 data = f.read(size)
                 if len(data) < size:
                     raise ValueError(f"truncated file: {partition.path}")
-                for e in wire.elements(wire.unblob(data)):
-                    if e["kind"] in self.kinds:
-                        yield tuple(e.values())
+                for e in wire.elements(wire.unblob(data), self.kinds):
+                    yield tuple(e.values())
 
 
 class Written(WriterCommitMessage):
@@ -104,7 +132,7 @@ class PbfWriter(DataSourceWriter):
             out.write(wire.blob("OSMHeader", self.header.write(), self.compression, self.level))
             for _, run in itertools.groupby((r.asDict(recursive=True) for r in rows), lambda r: r["kind"]):
                 while chunk := list(itertools.islice(run, wire.BLOCK_ELEMENTS)):
-                    out.write(wire.blob("OSMData", wire.write_block([c | {"tags": c["tags"] or []} for c in chunk]), self.compression, self.level))
+                    out.write(wire.blob("OSMData", wire.write_block([c | {"tags": c["tags"] or []} for c in chunk]), self.compression, self.level, wire.Index.of(chunk)))
         return Written(temporary, f"{at}/{name}")
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -126,7 +154,7 @@ class PbfWriter(DataSourceWriter):
 
 
 class PbfSource(DataSource):
-    """Options: ``kinds`` (letters of n, w, r) when reading; ``compression`` (none, zlib, zstd), ``level``, ``sorted``, ``bbox`` when writing."""
+    """Options: ``kinds`` (letters of n, w, r) when reading, besides filters where spark.sql.python.filterPushdown.enabled is set;``compression`` (none, zlib, zstd), ``level``, ``sorted``, ``bbox`` when writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -148,6 +176,7 @@ class PbfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PbfSource)
 
 

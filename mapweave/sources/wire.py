@@ -169,7 +169,42 @@ def unblob(data) -> bytes:
     return out
 
 
-def blob(kind: str, content: bytes, compression: str = "zlib", level: int | None = None) -> bytes:
+@dataclass(frozen=True)
+class Index:
+    """What a blob's header says of its elements: their one kind, least and largest id, and of nodes the box (lat, lon, lat, lon)."""
+
+    kind: str
+    first: int
+    last: int
+    box: tuple[int, int, int, int] | None = None
+
+    MARK = b"MWI1"
+
+    @staticmethod
+    def of(rows: list[dict]) -> Index:
+        ids, lats, lons = ([r[c] for r in rows] for c in ("id", "lat_e7", "lon_e7"))
+        box = (min(lats), min(lons), max(lats), max(lons)) if rows[0]["kind"] == "n" else None
+        return Index(rows[0]["kind"], min(ids), max(ids), box)
+
+    def write(self) -> bytes:
+        return self.MARK + self.kind.encode() + struct.pack("<2q", self.first, self.last) + (struct.pack("<4i", *self.box) if self.box else b"")
+
+    @staticmethod
+    def parse(data) -> Index | None:
+        """None for what another program wrote there."""
+        data = bytes(data)
+        if data[:4] != Index.MARK or len(data) not in (21, 37):
+            return None
+        return Index(chr(data[4]), *struct.unpack_from("<2q", data, 5), struct.unpack_from("<4i", data, 21) if len(data) == 37 else None)
+
+    def may_hold(self, kinds: str = KINDS, box: tuple[int, int, int, int] | None = None, ids: tuple[int, int] | None = None) -> bool:
+        """Whether the blob can have elements of these kinds, nodes in this box, ids in this range."""
+        if self.kind not in kinds or ids and (ids[1] < self.first or ids[0] > self.last):
+            return False
+        return not (box and self.box) or self.box[0] <= box[2] and box[0] <= self.box[2] and self.box[1] <= box[3] and box[1] <= self.box[3]
+
+
+def blob(kind: str, content: bytes, compression: str = "zlib", level: int | None = None, index: Index | None = None) -> bytes:
     """A framed blob."""
     if compression == "none":
         body = block(1, content)
@@ -179,12 +214,17 @@ def blob(kind: str, content: bytes, compression: str = "zlib", level: int | None
         body = number(2, len(content)) + block(7, zstandard.ZstdCompressor(level=3 if level is None else level).compress(content))
     else:
         raise ValueError(f"unknown compression {compression!r}")
-    head = block(1, kind.encode()) + number(3, len(body))
+    head = block(1, kind.encode()) + (block(2, index.write()) if index else b"") + number(3, len(body))
     return struct.pack(">I", len(head)) + head + body
 
 
 def walk(f) -> Iterator[tuple[str, int, int]]:
     """(kind, offset, size) of the blobs of an open file; only their headers are read."""
+    return (x[:3] for x in walk_indexed(f))
+
+
+def walk_indexed(f) -> Iterator[tuple[str, int, int, Index | None]]:
+    """The same with each blob's index, where it has one."""
     at = 0
     f.seek(0)
     while True:
@@ -202,7 +242,7 @@ def walk(f) -> Iterator[tuple[str, int, int]]:
         h = dict(fields(data))
         if h.get(3, 0) > MAX_BLOB:
             raise ValueError("blob too large")
-        yield bytes(h[1]).decode(), at + 4 + size, h[3]
+        yield bytes(h[1]).decode(), at + 4 + size, h[3], Index.parse(h[2]) if 2 in h else None
         at += 4 + size + h[3]
         f.seek(at)
 
@@ -221,8 +261,8 @@ def _row(kind: str, id_: int, **more) -> dict:
     return {"kind": kind, "id": id_, "lat_e7": None, "lon_e7": None, "tags": [], "refs": None, "locations": None, "members": None, "info": None} | more
 
 
-def elements(content: bytes) -> Iterator[dict]:
-    """The elements of a primitive block, in file order."""
+def elements(content: bytes, wanted: str = KINDS) -> Iterator[dict]:
+    """The elements of a primitive block that are of the given kinds, in file order; groups of others aren't read."""
     strings: list[str] = []
     groups, gran, dates, lat0, lon0 = [], GRANULARITY, DATE_GRANULARITY, 0, 0
     for tag, v in fields(content):
@@ -242,12 +282,12 @@ def elements(content: bytes) -> Iterator[dict]:
     tags = lambda keys, values: [{"k": strings[a], "v": strings[b]} for a, b in zip(keys, values, strict=True)]
     for group in groups:
         for tag, v in fields(group):
+            if not 1 <= tag <= 4 or "nnwr"[tag - 1] not in wanted:
+                continue
             if tag == 2:
                 yield from _dense(v, strings, dates, lambda x: units(lat0, x), lambda x: units(lon0, x))
                 continue
-            if tag not in (1, 3, 4):
-                continue
-            e = {t: x for t, x in fields(v)}
+            e ={t: x for t, x in fields(v)}
             common = {"tags": tags(packed(e.get(2, b"")), packed(e.get(3, b""))), "info": _info(e[4], strings, dates) if 4 in e else None}
             if tag == 1:
                 yield _row("n", zigzag(e[1]), lat_e7=units(lat0, zigzag(e.get(8, 0))), lon_e7=units(lon0, zigzag(e.get(9, 0))), **common)

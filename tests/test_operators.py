@@ -302,3 +302,55 @@ def test_places_and_stretches(spark, monkeypatch):
     rows = spark.createDataFrame([("n", p, i) for p, i in enumerate(ids_)], "kind string, pos bigint, id bigint")
     got_ = {r["pos"]: r["prev"] for r in ordering.with_previous(rows).collect()}
     assert got_ == {p: ids_[p - 1] if p else None for p in range(len(ids_))}
+
+
+def test_neighbours_at_the_poles_and_the_date_line(spark):
+    import math
+    import random
+
+    from mapweave.operators import geocode as gc
+
+    rng = random.Random(5)
+    lat = lambda: rng.choice([rng.uniform(84, 90), rng.uniform(-90, -89.5), rng.uniform(89.99, 90), rng.uniform(-1, 1)])
+    lon = lambda: rng.choice([rng.uniform(-180, 180), rng.uniform(179.9, 180), 180.0, -180.0, rng.uniform(9, 9.5)])
+    place = lambda: (int(lat() * 1e7), int(lon() * 1e7))
+    q, p = [(k, *place()) for k in range(150)], [(k, *place()) for k in range(400)]
+    queries, points = spark.createDataFrame(q, "q long, qlat int, qlon int"), spark.createDataFrame(p, "id long, lat_e7 int, lon_e7 int")
+    for radius in (75.0, 1000.0, 40_000.0, 300_000.0):
+        want = set()
+        for k, a, b in q:
+            for i, c, d in p:
+                dy, dx = math.radians((c - a) / 1e7), math.radians((d - b) / 1e7) * math.cos(math.radians(a / 1e7))
+                if math.sqrt(dx * dx + dy * dy) * gc.EARTH_M < radius:
+                    want.add((k, i))
+        got = [(r["q"], r["id"]) for r in gc.near_points(queries, points, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 100
+
+
+def test_ranges_by_halving_and_places(spark):
+    from pyspark.sql import functions as F
+
+    from mapweave.operators import ordering as od
+
+    for n in (1, 2, 3, 7, 8, 20):
+        cuts = [float(3 * k) for k in range(n)]
+        got = spark.range(70).select("id", od.range_of(F.col("id").cast("double"), cuts).alias("r")).collect()
+        assert all(r["r"] == sum(c < r["id"] for c in cuts) for r in got)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.lit("n").alias("kind")).repartition(5)
+    assert all(r["place"] == r["id"] for r in od.numbered(rows, ["kind"], F.col("id"), parts=9).collect())
+    assert all(r["place"] == 999 - r["id"] for r in od.placed(rows.orderBy(F.desc("id"))).collect())
+
+
+def test_segments_over_stretches(spark, monkeypatch):
+    import itertools
+    import random
+
+    from mapweave.operators import ordering as od
+
+    monkeypatch.setattr(od, "STRETCH", 7)
+    rng = random.Random(2)
+    kinds = [k for _ in range(25) for k in [rng.choice("nwr")] * rng.randint(1, 12)]
+    want = [(i + 1, k, len(list(run))) for i, (k, run) in enumerate(itertools.groupby(kinds))]
+    got = od.segments(spark.createDataFrame(list(enumerate(kinds)), "block long, kind string")).collect()
+    assert sorted((r["segment"], r["kind"], r["n_blocks"]) for r in got) == want

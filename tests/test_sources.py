@@ -98,3 +98,35 @@ def test_apply_is_unconditional(spark):
     base = table(spark).where("kind = 'n'").select("id", "lat_e7", "lon_e7")
     c = spark.createDataFrame([(1, "create", "n", 7, 1, 1), (2, "delete", "n", 7, None, None), (3, "delete", "n", 99, None, None), (4, "modify", "n", 1, 5, 5)], "seq bigint, action string, kind string, id bigint, lat_e7 int, lon_e7 int")
     assert {tuple(r) for r in apply_changes(base, c, "n").collect()} == {(1, 5, 5), (-2, -1, 1799999999)}
+
+
+def test_filters_choose_blobs_by_their_indexes(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
+
+    from mapweave.sources import pbf, wire
+
+    rows = [("n", k, k * 1000, -k * 1000, [], None, None, None, None) for k in range(1, 301)] + [("w", k, None, None, [], [1, 2], None, None, None) for k in range(1, 51)]
+    rows += [("r", k, None, None, [], None, None, [("n", 1, "a"), ("w", k, "")], None) for k in range(1, 21)]
+    monkeypatch.setattr(wire, "BLOCK_ELEMENTS", 100)
+    writer = pbf.PbfWriter(str(tmp_path / "f"), "zlib", None, wire.Header(), False)
+    frame = spark.createDataFrame(rows, pbf.ELEMENTS)
+    path = str(tmp_path / "f" / "one.osm.pbf")
+    (tmp_path / "f").mkdir()
+    with open(path, "wb") as out:
+        out.write(wire.blob("OSMHeader", writer.header.write()))
+        every = [r.asDict(recursive=True) for r in frame.collect()]
+        for kind in "nwr":
+            mine = [e for e in every if e["kind"] == kind]
+            for i in range(0, len(mine), 100):
+                out.write(wire.blob("OSMData", wire.write_block(mine[i:i + 100]), index=wire.Index.of(mine[i:i + 100])))
+
+    def blobs(*filters):
+        reader = pbf.PbfReader(path, "nwr")
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sum(len(p.spans) for p in reader.partitions())
+
+    assert blobs() == 5 and blobs(EqualTo(("kind",), "w")) == 1 and blobs(In(("kind",), ("n", "w"))) == 4 and blobs(EqualTo(("kind",), "r"), LessThan(("id",), 5)) == 1
+    assert blobs(EqualTo(("id",), 250)) == 1 and blobs(GreaterThan(("lat_e7",), 150_000), LessThan(("lat_e7",), 160_000)) == 2
+    got = pbf.read_elements(spark, path).where("kind = 'n' and id > 290 and lat_e7 < 295000")
+    assert sorted(r["id"] for r in got.collect()) == [291, 292, 293, 294]
+    assert pbf.read_elements(spark, path).count() == 370 and pbf.read_elements(spark, path, "r").count() == 20 and pbf.read_elements(spark, path, "w").count() == 50
