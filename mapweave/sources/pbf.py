@@ -72,6 +72,8 @@ class PbfReader(DataSourceReader):
                     low[name] = max(low[name], min(values))
                 if values and isinstance(f, (EqualTo, LessThan, LessThanOrEqual, In)):
                     high[name] = min(high[name], max(values))
+                if name != "id":  # only nodes have coordinates
+                    self.kinds = "n" if "n" in self.kinds else ""
             yield f
         self.ids = low["id"], high["id"]
         own = low["lat_e7"], low["lon_e7"], high["lat_e7"], high["lon_e7"]
