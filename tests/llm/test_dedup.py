@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -179,10 +180,62 @@ def test_the_stage_drops_similar_texts(spark):
     assert got == set(label.values()) and len(got) < len(rows) - 100
 
 
-def test_members_of_a_bucket_meet_without_its_smallest(spark):
-    rows = [(1, 0, k) for k in range(6)] + [(2, 0, 9)]
-    star = similar._pairs(spark.createDataFrame(rows, "key long, label long, node long"), stars=True).collect()
+def test_a_bucket_starts_from_its_smallest(spark):
+    rows = [(1, k) for k in range(6)] + [(2, 9)]
+    star = similar._stars(spark.createDataFrame(rows, "key long, node long")).collect()
     assert {(r["u"], r["v"]) for r in star} == {(k, 0) for k in range(1, 6)}
-    rows = [(1, 0, 0), (1, 0, 1), (1, 2, 2), (1, 3, 3), (2, 5, 5), (2, 5, 6)]
-    rest = similar._pairs(spark.createDataFrame(rows, "key long, label long, node long"), stars=False).collect()
-    assert {(r["u"], r["v"]) for r in rest} == {(2, 0), (3, 0), (2, 1), (3, 1), (3, 2)}
+
+
+def test_all_members_of_a_large_bucket_with_other_labels_meet(spark, monkeypatch):
+    """One label has two thirds of a bucket, others a few members or one; all pairs of blocks hold all pairs of labels, none twice."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    label = {k: 0 if k < 60 else k // 7 if k < 80 else k for k in range(90)}
+    small = {k: k // 2 for k in range(200, 206)}
+    rows = [(1, v, k) for k, v in label.items()] + [(2, v, k) for k, v in small.items()] + [(3, 5, 300), (3, 5, 301)]
+    labelled = spark.createDataFrame(rows, "key long, label long, node long")
+    sizes, meetings = similar._blocks(labelled)
+    held: dict = {}
+    for r in similar._placed(labelled, sizes).collect():
+        held.setdefault((r["key"], r["block"]), []).append((r["label"], r["node"]))
+    assert max(map(len, held.values())) < 40 and sum(map(len, held.values())) == 96
+    got = Counter()
+    for r in meetings.collect():
+        left, right = held.get((r["key"], r["a"]), []), held.get((r["key"], r["b"]), [])
+        pairs = [(x, y) for i, x in enumerate(left) for y in left[:i]] if r["a"] == r["b"] else [(x, y) for x in left for y in right]
+        got.update(tuple(sorted((x[1], y[1]))) for x, y in pairs if x[0] != y[0])
+    want = {(i, j) for part in (label, small) for i in part for j in part if i < j and part[i] != part[j]}
+    assert set(got) == want and set(got.values()) == {1}
+
+
+def test_links_join_what_is_similar():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, 60).astype(np.uint64)) for _ in range(60)] + [np.arange(9000, dtype=np.uint64), np.arange(10000, dtype=np.uint64)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[30:]] for a in sets[:30]]
+    assert similar.shared(sets[:30], sets[30:]).tolist() == want
+    for two in (False, True):
+        held = [(int(two and k >= 30), k, k, x) for k, x in enumerate(sets)]
+        component = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if held[i][0] + held[j][0] == int(two) and similar.similarity(sets[i], sets[j]) >= 0.8:
+                    component = [component[i] if c == component[j] else c for c in component]
+        found = list(range(len(sets)))
+        for u, v in similar.links(held):
+            assert similar.similarity(sets[u], sets[v]) >= 0.8
+            found = [found[u] if c == found[v] else c for c in found]
+        assert len(set(zip(component, found, strict=True))) == len(set(component)) == len(set(found)) < len(sets)
+
+
+def test_the_stage_joins_within_large_buckets(spark, monkeypatch):
+    """Blocks of two members give what whole buckets give."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for k in range(60):
+        edited = list(base)
+        for _ in range(rng.randrange(8)):
+            edited[rng.randrange(len(edited))] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(edited)))
+    want = {r["doc_id"] for r in similar.drop_similar(docs(spark, rows)).collect()}
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    assert {r["doc_id"] for r in similar.drop_similar(docs(spark, rows)).collect()} == want
