@@ -793,17 +793,20 @@ def points(g: Graph) -> DataFrame:
     return g.sql("SELECT c_custkey AS q, CAST((c_custkey*15485863)%1700001*1000 - 850000000 AS INT) AS qlat, CAST((c_custkey*32452843)%3600001*1000 - 1800000000 AS INT) AS qlon FROM customer", "customer")
 
 
-_ADDR = "addr AS (SELECT a.v AS number, b.v AS street, n.lat_e7, n.lon_e7, n.id FROM nodes n JOIN elem_tags a ON a.kind='n' AND a.id=n.id AND a.k='addr:housenumber' JOIN elem_tags b ON b.kind='n' AND b.id=n.id AND b.k='addr:street')"
+_ADDR = """addr AS (SELECT a.v AS number, b.v AS street, n.lat_e7, n.lon_e7, 'n' AS source, n.id FROM nodes n JOIN elem_tags a ON a.kind='n' AND a.id=n.id AND a.k='addr:housenumber' JOIN elem_tags b ON b.kind='n' AND b.id=n.id AND b.k='addr:street'
+UNION ALL SELECT CAST(1+way_id%60 AS VARCHAR), 'Street ' || CAST(way_id%40 AS VARCHAR), CAST(trunc(sum(lat_e7)/count(*)) AS INT), CAST(trunc(sum(lon_e7)/count(*)) AS INT), 'w', way_id FROM way_refs JOIN nodes ON nodes.id=node_id WHERE way_id%11=0 GROUP BY way_id)"""
 
 
 def addrs(g: Graph) -> DataFrame:
-    empty = lc.add_locations(g.dataset).limit(0)
-    return gc.addresses(g.dataset, empty)
+    """Addresses of nodes and buildings; the test ways have none, so all get a number and street from their id."""
+    tag = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    more = F.array(tag("addr:housenumber", (1 + F.col("id") % 60).cast("string")), tag("addr:street", F.concat(F.lit("Street "), (F.col("id") % 40).cast("string"))))
+    return gc.addresses(g.dataset, lc.add_locations(g.dataset).withColumn("tags", F.concat("tags", more)))
 
 
-@query("geo_addr_extract", "SELECT number, street, lat_e7, lon_e7, id FROM addr", _ADDR)
+@query("geo_addr_extract", "SELECT number, street, lat_e7, lon_e7, source, id FROM addr", _ADDR)
 def _(g):
-    return addrs(g).drop("source")
+    return addrs(g)
 
 
 @query("geocode_nearest", f"SELECT q, id, street, number, round(sqrt(d2)*6371000,3) AS metres FROM (SELECT *, {_d2()} AS d2 FROM qp, addr WHERE abs(lat_e7::BIGINT-qlat)<40000000) WHERE sqrt(d2)*6371000<{RADIUS} QUALIFY row_number() OVER (PARTITION BY q ORDER BY d2,id)=1", _QP + ", " + _ADDR)
@@ -853,14 +856,6 @@ def _(g):
     return g.nodes.select("id", y.alias("cy"), x.alias("cx"))
 
 
-@query("reverse_query", f"""SELECT q, what, id, label, number FROM (SELECT q, 'address' AS what, id, street AS label, number, {_d2()} AS d2 FROM qp, addr WHERE abs(lat_e7::BIGINT-qlat)<40000000) WHERE sqrt(d2)*6371000<{RADIUS}
-QUALIFY row_number() OVER (PARTITION BY q, what ORDER BY d2, id)=1""", _QP + ", " + _ADDR)
-def _(g):
-    none = gc.segments(gc.streets(lc.add_locations(g.dataset).limit(0)), "id", "street")
-    marks = none.withColumns({"path": F.lit(None).cast("array<struct<lat_e7:int,lon_e7:int>>"), "start_number": F.lit(0), "end_number": F.lit(0), "itype": F.lit(0)})
-    return gc.reverse(points(g), addrs(g), none, marks, near=RADIUS, far=RADIUS).select("q", "what", "id", "label", "number")
-
-
 @query("building_centroid", "SELECT way_id AS id, CAST(trunc(sum(lat_e7)/count(*)) AS INT) AS lat_e7, CAST(trunc(sum(lon_e7)/count(*)) AS INT) AS lon_e7 FROM way_refs JOIN nodes ON nodes.id=node_id WHERE way_id%11=0 GROUP BY way_id")
 def _(g):
     ways = lc.add_locations(g.dataset).where("id % 11 = 0 and locations is not null")
@@ -941,12 +936,12 @@ for _name in ("write_osc", "scan_osc", "scan_osc_dir"):
     query(_name, _CHANGE_ROWS)(lambda g: osc.read_changes(g.spark, _change_file(g)).select("action", "id", _zero("lat_e7"), _zero("lon_e7")))
 
 
-@query("write_geojson", "SELECT DISTINCT id FROM elem_tags WHERE kind='n'")
+@query("write_geojson", "SELECT 'node' AS kind, id, 'Point' AS geometry, 1 AS n FROM (SELECT DISTINCT id FROM elem_tags WHERE kind='n') UNION ALL SELECT 'way', id, geometry, CAST(n AS INT) FROM sh WHERE (geometry='Polygon' AND dn>=3) OR (geometry='LineString' AND n>=2)", _SHAPES)
 def _(g):
     path = _path(g)
-    none = lc.add_locations(g.dataset).limit(0).withColumn("refs", F.lit(None).cast("array<bigint>"))
-    ex.write_geojson_lines(ex.features(g.nodes, none), path)
-    return g.spark.read.text(path).select(F.regexp_extract("value", '"@id":(\\d+)', 1).cast("bigint").alias("id"))
+    ex.write_geojson_lines(ex.features(g.nodes, _located(g)), path)
+    of = lambda pattern: F.regexp_extract("value", pattern, 1)
+    return g.spark.read.text(path).select(of('"@type":"([a-z]+)"').alias("kind"), of('"@id":(\\d+)').cast("bigint").alias("id"), of('"geometry":\\{"type":"(\\w+)"').alias("geometry"), (F.regexp_count("value", F.lit(r"\],\[")) + 1).alias("n"))
 
 
 @query("write_json_report", """SELECT '{"kind":"' || kind || '","n":' || CAST(count(*) AS VARCHAR) || '}' AS report FROM elements GROUP BY kind""")
@@ -990,23 +985,17 @@ def _(g):
 # -- more of geocoding
 
 
-@query("reverse_candidates", f"SELECT q, id, number, round(sqrt(d2)*6371000,3) AS metres FROM (SELECT *, {_d2()} AS d2 FROM qp, addr WHERE abs(lat_e7::BIGINT-qlat)<40000000) WHERE sqrt(d2)*6371000<{RADIUS}", _QP + ", " + _ADDR)
-def _(g):
-    none = gc.segments(gc.streets(lc.add_locations(g.dataset).limit(0)), "id", "street")
-    marks = none.withColumns({"path": F.lit(None).cast("array<struct<lat_e7:int,lon_e7:int>>"), "start_number": F.lit(0), "end_number": F.lit(0), "itype": F.lit(0)})
-    return gc.candidates(points(g), addrs(g), none, marks, RADIUS).select("q", "id", "number", F.round("metres", 3).alias("metres"))
-
-
 def _interp_ways(g: Graph) -> DataFrame:
-    """Of each street a way from its first address to its last, as an interpolation way."""
-    a = addrs(g).groupBy("street").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    place = addrs(g).select("id", F.struct("lat_e7", "lon_e7").alias("p"))
+    """Of each street a way from its first node with an address to its last, as an interpolation way."""
+    of_nodes = addrs(g).where("source = 'n'")
+    a = of_nodes.groupBy("street").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    place = of_nodes.select("id", F.struct("lat_e7", "lon_e7").alias("p"))
     rows = a.join(place.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(place.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
     tags = F.array(F.struct(F.lit("addr:interpolation").alias("k"), F.lit("even").alias("v")), F.struct(F.lit("addr:street").alias("k"), F.col("street").alias("v")))
     return rows.select(F.col("a").alias("id"), tags.alias("tags"), F.array("pa", "pb").alias("locations"))
 
 
-_ENDS = _ADDR + ", ends AS (SELECT street, min(id) AS a, max(id) AS b FROM addr GROUP BY street HAVING min(id)<max(id))"
+_ENDS = _ADDR + ", ends AS (SELECT street, min(id) AS a, max(id) AS b FROM addr WHERE source='n' GROUP BY street HAVING min(id)<max(id))"
 
 
 @query("geo_interp_extract", "SELECT a AS id, street, 1 AS itype FROM ends", _ENDS)
@@ -1015,11 +1004,52 @@ def _(g):
 
 
 for _name in ("geo_interp_resolve", "interp_endpoint"):
-    @query(_name, "SELECT a AS id, (SELECT CAST(number AS BIGINT) FROM addr WHERE addr.id=ends.a) AS start_number, (SELECT CAST(number AS BIGINT) FROM addr WHERE addr.id=ends.b) AS end_number FROM ends", _ENDS)
+    @query(_name, "SELECT a AS id, (SELECT CAST(number AS BIGINT) FROM addr WHERE source='n' AND addr.id=ends.a) AS start_number, (SELECT CAST(number AS BIGINT) FROM addr WHERE source='n' AND addr.id=ends.b) AS end_number FROM ends", _ENDS)
     def _(g):
         return gc.interp_endpoints(gc.interpolations(_interp_ways(g)), addrs(g))
 
 
+def _lanes(g: Graph) -> DataFrame:
+    """From every node a way of three places, named; half are streets by their class."""
+    at = lambda dy, dx: F.struct((F.col("lat_e7") + dy).cast("int").alias("lat_e7"), (F.col("lon_e7") + dx).cast("int").alias("lon_e7"))
+    kind = F.expr("CASE id % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'footway' ELSE 'service' END")
+    tags = F.array(F.struct(F.lit("highway").alias("k"), kind.alias("v")), F.struct(F.lit("name").alias("k"), F.concat(F.lit("Lane "), (F.col("id") % 90).cast("string")).alias("v")))
+    return g.nodes.select("id", tags.alias("tags"), F.array(at(0, 0), at(3_000_000, 5_000_000), at(6_000_000, 1_000_000)).alias("locations"))
+
+
+def _index(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Addresses, segments of streets, and segments of interpolation ways with their numbers."""
+    a = addrs(g)
+    ways = gc.interpolations(_interp_ways(g))
+    marks = gc.segments(ways.join(gc.interp_endpoints(ways, a), "id"), "id", "street", "path", "start_number", "end_number", "itype")
+    return a, gc.segments(gc.streets(_lanes(g)), "id", "street"), marks
+
+
+NEAR_QUERY = 60_000.0
+#: Squared radians from a query to a segment's nearest place, as a plane scaled by the cosine of the query's latitude has it.
+_K = "cos(radians(qlat/1e7))"
+_CAND = _ENDS + f""", seg AS (SELECT 'street' AS what, id, 'Lane ' || CAST(id%90 AS VARCHAR) AS label, 0 AS a, 0 AS b, lat_e7+y1 AS lat1, lon_e7+x1 AS lon1, lat_e7+y2 AS lat2, lon_e7+x2 AS lon2 FROM nodes, (VALUES (0,0,3000000,5000000),(3000000,5000000,6000000,1000000)) o(y1,x1,y2,x2) WHERE id%4 IN (0,1)
+UNION ALL SELECT 'interpolation', e.a, e.street, CAST(p.number AS INT), CAST(z.number AS INT), p.lat_e7, p.lon_e7, z.lat_e7, z.lon_e7 FROM ends e JOIN addr p ON p.source='n' AND p.id=e.a JOIN addr z ON z.source='n' AND z.id=e.b),
+st AS (SELECT *, coalesce(least(1.0::DOUBLE,greatest(0.0::DOUBLE,-(ax*(bx-ax)+ay*(by_-ay))/nullif((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay),0))),0) AS t FROM (SELECT *, (lon1::DOUBLE-qlon)*{_K} AS ax, lat1::DOUBLE-qlat AS ay, (lon2::DOUBLE-qlon)*{_K} AS bx, lat2::DOUBLE-qlat AS by_ FROM qp, seg WHERE least(lat1,lat2)::BIGINT-qlat<40000000 AND qlat-greatest(lat1,lat2)::BIGINT<40000000)),
+sp AS (SELECT *, lat1+t*(lat2::DOUBLE-lat1) AS py, lon1+t*(lon2::DOUBLE-lon1) AS px FROM st),
+sd AS (SELECT q, what, id, label, a, b, power(radians((px-qlon)/1e7)*{_K},2)+power(radians((py-qlat)/1e7),2) AS d2,
+sqrt(power(radians((px-lon1)/1e7)*cos(radians(lat1/1e7)),2)+power(radians((py-lat1)/1e7),2))/sqrt(power(radians((lon2::DOUBLE-lon1)/1e7)*cos(radians(lat1/1e7)),2)+power(radians((lat2::DOUBLE-lat1)/1e7),2)) AS share FROM sp),
+cand AS (SELECT q, 'address' AS what, id, street AS label, number, sqrt(d2)*6371000 AS metres FROM (SELECT *, {_d2()} AS d2 FROM qp, addr WHERE abs(lat_e7::BIGINT-qlat)<40000000)
+UNION ALL SELECT * FROM (SELECT q, what, id, label, CASE what WHEN 'interpolation' THEN CAST(CAST(greatest(a+2*round(share*(b-a)/2),0) AS BIGINT) AS VARCHAR) END, sqrt(d2)*6371000 FROM sd QUALIFY row_number() OVER (PARTITION BY q, what, id ORDER BY d2)=1))"""
+
+
+@query("reverse_candidates", f"SELECT q, what, id, label, number, round(metres,3) AS metres FROM cand WHERE metres<{NEAR_QUERY}", _QP + ", " + _CAND)
+def _(g):
+    return gc.candidates(points(g), *_index(g), NEAR_QUERY).withColumn("metres", F.round("metres", 3))
+
+
+@query("reverse_query", f"""SELECT q, what, id, label, number FROM cand LEFT JOIN (SELECT DISTINCT q AS s FROM cand WHERE what<>'interpolation' AND metres<{NEAR_QUERY}) ON s=q
+WHERE metres < CASE WHEN s IS NULL THEN {RADIUS} ELSE {NEAR_QUERY} END QUALIFY row_number() OVER (PARTITION BY q, what ORDER BY metres, id)=1""", _QP + ", " + _CAND)
+def _(g):
+    """The nearest of each sort within NEAR_QUERY, or within RADIUS where neither a street nor an address is so near."""
+    return gc.reverse(points(g), *_index(g), near=NEAR_QUERY, far=RADIUS).select("q", "what", "id", "label", "number")
+
+
 def _squares(g: Graph):
     """A square of two open ways around each query point away from the poles and the date line, as an administrative relation."""
     c = points(g).where("abs(qlat) < 800000000 and abs(qlon) < 1700000000")
