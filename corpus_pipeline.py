@@ -29,7 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with 5-word similarity 0.8 or more, the document with the smallest doc_id.
 
-    op4's fingerprints (links at 4 of 64 bits) reach few such pairs, so this stage takes min-wise hashes and verifies.
+    Candidates are the components of op4's fingerprints (links at 4 of 64 bits) and, as these reach few such pairs, the
+    bands of min-wise hashes; all are verified.
     """
     return similar.drop_similar(docs)
 

@@ -206,6 +206,14 @@ def near_edges(nodes: DataFrame, distance: int, bits: int) -> DataFrame:
             return edges
 
 
+def ball_components(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, component) of the fingerprints that are linked: the smallest, as a signed number, that links reach. ``nodes`` is staged and has each fp once."""
+    if distance % 2:
+        raise ValueError("distance must be even")
+    bits = max(8, min(32, nodes.count().bit_length() - 6))
+    return components(near_edges(nodes.select("fp", F.col("fp").alias("id")), distance, bits)).withColumnRenamed("node", "fp")
+
+
 def find_near(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
     """One row a row of ``docs``: doc_id, fingerprint, component_id (smallest doc_id that links of at most ``distance`` bits reach).
 
@@ -220,13 +228,9 @@ def find_near(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
 
 def _labelled(prints: DataFrame, distance: int) -> DataFrame:
     """Staged rows (doc_id, fp) with their component_id."""
-    if distance % 2:
-        raise ValueError("distance must be even")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "fingerprint-nodes")
     count = nodes.count()
-    bits = max(8, min(32, count.bit_length() - 6))
-    labels = components(near_edges(nodes.select("fp", F.col("fp").alias("id")), distance, bits)).withColumnRenamed("node", "fp")
-    named = stage(nodes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "fingerprint-components")
+    named = stage(nodes.join(ball_components(nodes, distance), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "fingerprint-components")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("_size"))
     known = join_counted(named, least, "component", "_size", count, F.col("fp")).select("fp", "n", "component_id")
     return join_counted(prints, known, "fp", "n", prints.count(), F.col("doc_id"))

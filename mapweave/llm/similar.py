@@ -1,7 +1,8 @@
 """Near copies by Jaccard similarity of word shingles (the pipeline's near-dedup stage).
 
-Two texts of similarity 0.8 differ in far more bits of a SimHash than ball hashing can reach, so candidates come from
-min-wise hashes in bands here. Every candidate pair is verified on the sets of shingles (64-bit hashes) themselves.
+Candidates share a bucket: a component of SimHash fingerprints by ball hashing (operator 4, at its own distance) or, as two
+texts of similarity 0.8 mostly differ in more bits than ball hashing can reach, a band of min-wise hashes. Every pair is
+verified on the sets of shingles (64-bit hashes) themselves.
 First each member of a bucket is held against the bucket's smallest; then, in buckets whose members are still in different
 components, all members with those of other components, block by block, whatever the bucket's size. Texts that are in no pair aren't shipped.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, join_counted, on_workers, some_id, stage, trimmed, unstage
 from .components import components
+from .simhash import ball_components, fingerprint
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a bucket with the chance 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8.
@@ -59,19 +61,32 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(id, text, node, bands): node is the hash of the set of shingles."""
+    """(id, text, node, fp, bands): node is the hash of the set of shingles, fp the fingerprint of operator 4."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t)
+                prints.append(fingerprint(t))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(band_keys(found))
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.record_batch({"id": batch.column(0), "text": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bands": bands})
+            yield pa.record_batch({"id": batch.column(0), "text": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "bands": bands})
 
-    return docs.select(some_id().alias("id"), "text").mapInArrow(trimmed(run), "id long, text string, node long, bands array<long>")
+    return docs.select(some_id().alias("id"), "text").mapInArrow(trimmed(run), "id long, text string, node long, fp long, bands array<long>")
+
+
+def _balls(signed: DataFrame) -> DataFrame:
+    """(key, node): a bucket for each component of fingerprints that ball hashing links; equal fingerprints are linked too."""
+    rows = stage(signed.select("node", "fp").distinct(), "similar-prints")
+    prints = stage(rows.groupBy("fp").agg(F.count("*").alias("n")), "similar-balls")
+    linked = prints.join(ball_components(prints), "fp", "left").where("n > 1 or component is not null")
+    balls = stage(linked.select("fp", "n", F.xxhash64(F.lit("ball"), F.coalesce("component", "fp")).alias("key")), "similar-balls")
+    out = stage(join_counted(rows, balls, "fp", "n", rows.count(), F.col("node")).where("key is not null").select("key", "node").distinct(), "similar-balls")
+    for x in (rows, prints, balls):
+        unstage(x)
+    return out
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -232,10 +247,12 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     on_workers(docs.sparkSession)
     signed = stage(_signed(docs), "shingle-bands")
     nodes = stage(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "shingle-nodes")
-    first = stage(_stars(nodes.select(F.explode("bands").alias("key"), "node")), "similar-candidates")
+    balls = _balls(signed)
+    first = stage(_stars(nodes.select(F.explode("bands").alias("key"), "node").unionByName(balls)), "similar-candidates")
     texts = _texts(first, signed, nodes)
     edges = stage(_verified(first, texts), "similar")
-    labelled = stage(_labels(nodes, edges).select("label", "node", F.explode("bands").alias("key")), "similar-labels")
+    known = stage(_labels(nodes, edges), "similar-labels")
+    labelled = stage(known.select("label", "node", F.explode("bands").alias("key")).unionByName(balls.join(known, "node").select("label", "node", "key")), "similar-labels")
     sizes, meetings = _blocks(labelled)
     meetings = stage(meetings, "similar-meetings")
     members = stage(_placed(labelled, sizes), "similar-members")
@@ -244,6 +261,6 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     named = _labels(nodes.select("node", "id"), edges.unionByName(met))
     stays = named.groupBy("label").agg(F.min("id").alias("id")).select("id").distinct()
     drops = stage(signed.select("id").distinct().join(stays, "id", "left_anti").withColumnRenamed("id", "_id"), "similar-drops")
-    for x in (signed, nodes, first, texts, edges, labelled, sizes, meetings, members, met):
+    for x in (signed, nodes, balls, first, texts, edges, known, labelled, sizes, meetings, members, met):
         unstage(x)
     return docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops["_id"], "left_anti")

@@ -239,3 +239,35 @@ def test_the_stage_joins_within_large_buckets(spark, monkeypatch):
     want = {r["doc_id"] for r in similar.drop_similar(docs(spark, rows)).collect()}
     monkeypatch.setattr(similar, "BLOCK", 2)
     assert {r["doc_id"] for r in similar.drop_similar(docs(spark, rows)).collect()} == want
+
+
+def test_the_stage_takes_candidates_by_ball_hashing(spark, monkeypatch):
+    """Where no band is shared, members of a component of fingerprints still meet, all of them, and are verified."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for c in range(8):
+            edited = list(words)
+            for _ in range(c):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(5000)}"
+            rows.append((k * 10 + c, " ".join(edited)))
+    rows += [(900, "a b c d e f g h"), (901, "A B c d e f  g h")]  # one set of shingles, so one node
+    signed = similar._signed(docs(spark, rows))
+    at = {r["node"]: r["key"] for r in similar._balls(signed).collect()}
+    node = {r["id"]: r["node"] for r in signed.collect()}
+    want = brute({i: simhash.fingerprint(t) for i, t in rows})
+    sizes = Counter(want[i] for i in {n: i for i, n in node.items()}.values())
+    assert {i for i in want if node[i] in at} == {i for i in want if sizes[want[i]] > 1} and len(at) > 20
+    assert len({(want[i], at[node[i]]) for i in want if node[i] in at}) == len({want[i] for i in want if node[i] in at}) == len(set(at.values()))
+    sets = {i: similar.shingles(t) for i, t in rows}
+    label = {i: i for i in want}
+    for i in label:
+        for j in list(label):
+            if want[i] == want[j] and label[i] != label[j] and similar.similarity(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = {x: low if y == high else y for x, y in label.items()}
+    original = similar._signed
+    monkeypatch.setattr(similar, "_signed", lambda d: original(d).withColumn("bands", F.array("node")))
+    got = {r["doc_id"] for r in corpus_pipeline.near(spark, docs(spark, rows), "").collect()}
+    assert got == set(label.values()) and len(got) < len(rows) - 20
