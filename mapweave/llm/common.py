@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 256
 #: Stands for a null doc_id while rows are worked on: below every other.
 NO_ID = -(1 << 63)
+#: Bits of the bitmap that tells which rows may be in a list, for each that is listed, and at most; and bits of one part of it.
+BITS_EACH, BITMAP_BITS, BITMAP_PART = 32, 1 << 26, 1 << 15
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -124,3 +126,24 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: i
         "_salt", F.when(F.col("_hot_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(salt_by), F.col("_hot_parts")).cast("int")))
     right = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", size)
     return left.drop("_hot_parts").join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def listed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with ``_listed``: true for all whose ``on`` is in the staged table ``keys`` and, as a bitmap of hashes answers, for a few that aren't.
+
+    The bitmap has BITMAP_BITS at most and is broadcast, so rows that aren't listed needn't be shipped however long the list
+    is; with very long lists more of them are. Both sides have the same types.
+    """
+    bits = min(BITMAP_BITS, max(BITMAP_PART, 1 << (BITS_EACH * keys.count()).bit_length()))
+    at, last = F.pmod(F.xxhash64(*on), F.lit(bits)), BITMAP_PART.bit_length() - 1
+    places = keys.select(F.shiftright(at, last).alias("_part"), at.bitwiseAND(BITMAP_PART - 1).alias("_bit"))
+    maps = places.repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright("_at", 3) % (BITMAP_PART // 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    asked = rows.withColumn("_at", at).withColumn("_part", F.shiftright("_at", last)).join(F.broadcast(maps), "_part", "left")
+    return asked.withColumn("_listed", F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")), F.lit(0)) == 1).drop("_at", "_part", "_map")
+
+
+def unlisted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without those whose ``on`` is in the staged table ``keys``; only rows that may be are shipped."""
+    asked = listed(rows, keys, on)
+    return asked.where("not _listed").drop("_listed").unionByName(asked.where("_listed").drop("_listed").join(keys, on, "left_anti").select(*rows.columns))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, given_id, join_counted, on_workers, some_id, stage
+from .common import documents, given_id, join_counted, on_workers, some_id, stage, unlisted
 
 SLOTS = 4
 MAX_KICKS = 64
@@ -200,9 +200,9 @@ def find_copies(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row of a larger doc_id has; all other columns stay. Rows that share both doc_id and text all stay or all go."""
-    gone = find_copies(docs).where(~F.col("kept")).select(some_id().alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct()
+    gone = stage(find_copies(docs).where(~F.col("kept")).select(some_id().alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha")).distinct(), "dedup-gone")
     own = docs.withColumns({"__dedup_id": some_id(), "__dedup_sha": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
-    return own.join(gone, ["__dedup_id", "__dedup_sha"], "left_anti").drop("__dedup_id", "__dedup_sha")
+    return unlisted(own, gone, ["__dedup_id", "__dedup_sha"]).drop("__dedup_id", "__dedup_sha")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_counted, on_workers, some_id, stage, trimmed, unstage
+from .common import join_counted, listed, on_workers, some_id, stage, trimmed, unlisted, unstage
 from .components import components
 from .simhash import ball_components, fingerprint
 
@@ -60,21 +60,25 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """(id, text, node, fp, bands): node is the hash of the set of shingles, fp the fingerprint of operator 4."""
+    """(id, node, fp, bands): node is the hash of the set of shingles, fp the fingerprint of operator 4."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, prints, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t)
                 prints.append(fingerprint(t))
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                nodes.append(_node(found))
                 keys.append(band_keys(found))
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.record_batch({"id": batch.column(0), "text": batch.column(1), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "bands": bands})
+            yield pa.record_batch({"id": batch.column(0), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "bands": bands})
 
-    return docs.select(some_id().alias("id"), "text").mapInArrow(trimmed(run), "id long, text string, node long, fp long, bands array<long>")
+    return docs.select(some_id().alias("id"), "text").mapInArrow(trimmed(run), "id long, node long, fp long, bands array<long>")
 
 
 def _balls(signed: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ def _balls(signed: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) from rows (key, node): of each bucket's smallest node with the others."""
+    """Candidate pairs (key, u, v) from rows (key, node): of each bucket's smallest node (v) with the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = first = None
         for batch in batches:
@@ -104,20 +108,23 @@ def _stars(rows: DataFrame) -> DataFrame:
             key, first = keys[-1], least[-1]
             spread = np.repeat(least, np.diff(np.r_[starts, len(keys)]))
             other = spread != nodes
-            yield pa.record_batch({"u": pa.array(np.maximum(spread, nodes)[other]), "v": pa.array(np.minimum(spread, nodes)[other])})
+            yield pa.record_batch({"key": pa.array(keys[other]), "u": pa.array(nodes[other]), "v": pa.array(spread[other])})
 
-    return rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(run), "u long, v long").distinct()
+    return rows.select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(run), "key long, u long, v long")
 
 
-def _texts(pairs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text, n) of all nodes in ``pairs``, once each; n is how often a node comes second.
+def _texts(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text, n) of all nodes in ``pairs``, once each; n is how often a node comes second. Whole texts are shipped here only, of documents that are listed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([_node(shingles(t)) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.record_batch({"id": batch.column(0), "text": batch.column(1), "node": pa.array(found.view(np.int64))})
 
-    What is wanted is staged, so that Spark knows whether it is small enough to be broadcast; whole texts are shipped here only.
-    """
     ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(0).alias("n")), F.struct(F.col("v").alias("node"), F.lit(1).alias("n")))).alias("e"))
     wanted = ends.groupBy("e.node").agg(F.sum("e.n").alias("n"))
     asked = stage(wanted.join(nodes.select("node", "id"), "node"), "similar-asked")
-    texts = stage(signed.select("node", "id", "text").join(asked, ["node", "id"]).groupBy("node", "id").agg(F.first("text").alias("text"), F.first("n").alias("n")).drop("id"), "similar-texts")
+    some = listed(docs.select(some_id().alias("id"), "text"), asked, ["id"]).where("_listed").select("id", "text").mapInArrow(trimmed(run), "id long, text string, node long")
+    texts = stage(some.join(asked, ["node", "id"]).groupBy("node", "id").agg(F.first("text").alias("text"), F.first("n").alias("n")).drop("id"), "similar-texts")
     unstage(asked)
     return texts
 
@@ -248,11 +255,13 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     signed = stage(_signed(docs), "shingle-bands")
     nodes = stage(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "shingle-nodes")
     balls = _balls(signed)
-    first = stage(_stars(nodes.select(F.explode("bands").alias("key"), "node").unionByName(balls)), "similar-candidates")
-    texts = _texts(first, signed, nodes)
+    stars = stage(_stars(nodes.select(F.explode("bands").alias("key"), "node").unionByName(balls)), "similar-stars")
+    first = stage(stars.select("u", "v").distinct(), "similar-candidates")
+    texts = _texts(first, docs, nodes)
     edges = stage(_verified(first, texts), "similar")
-    known = stage(_labels(nodes, edges), "similar-labels")
-    labelled = stage(known.select("label", "node", F.explode("bands").alias("key")).unionByName(balls.join(known, "node").select("label", "node", "key")), "similar-labels")
+    known = stage(_labels(nodes.select("node", "id"), edges), "similar-labels")
+    shared = stars.select("key", F.col("u").alias("node")).unionByName(stars.select("key", F.col("v").alias("node")).distinct())
+    labelled = stage(shared.join(known, "node").select("label", "node", "key"), "similar-labels")
     sizes, meetings = _blocks(labelled)
     meetings = stage(meetings, "similar-meetings")
     members = stage(_placed(labelled, sizes), "similar-members")
@@ -260,7 +269,7 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     met = stage(_met(sides[0].unionByName(sides[1]).join(texts.select("node", "text"), "node")), "similar")
     named = _labels(nodes.select("node", "id"), edges.unionByName(met))
     stays = named.groupBy("label").agg(F.min("id").alias("id")).select("id").distinct()
-    drops = stage(signed.select("id").distinct().join(stays, "id", "left_anti").withColumnRenamed("id", "_id"), "similar-drops")
-    for x in (signed, nodes, balls, first, texts, edges, known, labelled, sizes, meetings, members, met):
+    drops = stage(signed.select(F.col("id").alias("__similar_id")).distinct().join(stays.withColumnRenamed("id", "__similar_id"), "__similar_id", "left_anti"), "similar-drops")
+    for x in (signed, nodes, balls, stars, first, texts, edges, known, labelled, sizes, meetings, members, met):
         unstage(x)
-    return docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops["_id"], "left_anti")
+    return unlisted(docs.withColumn("__similar_id", some_id()), drops, ["__similar_id"]).drop("__similar_id")

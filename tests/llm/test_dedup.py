@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mapweave.llm import components, exact_dedup, similar, simhash
+from mapweave.llm import common, components, exact_dedup, similar, simhash
 from mapweave.llm.exact_dedup import CuckooIndex
 
 
@@ -271,3 +271,31 @@ def test_the_stage_takes_candidates_by_ball_hashing(spark, monkeypatch):
     monkeypatch.setattr(similar, "_signed", lambda d: original(d).withColumn("bands", F.array("node")))
     got = {r["doc_id"] for r in corpus_pipeline.near(spark, docs(spark, rows), "").collect()}
     assert got == set(label.values()) and len(got) < len(rows) - 20
+
+
+def test_only_rows_that_may_be_listed_are_shipped(spark, monkeypatch):
+    """A bitmap misses no listed row, passes few others, and decides nothing: with too few bits the result is the same."""
+    rows = spark.range(-4000, 4000).selectExpr("id as k", "cast(id % 7 as string) as s", "'x' as _other")
+    keys = common.stage(spark.range(-4000, 4000, 40).selectExpr("id as k", "cast(id % 7 as string) as s"), "test")
+    want = {k for k in range(-4000, 4000) if k % 40}
+    maybe = {r["k"] for r in common.listed(rows, keys, ["k", "s"]).where("_listed").collect()}
+    assert set(range(-4000, 4000)) - want <= maybe and len(maybe) < 800
+    out = common.unlisted(rows, keys, ["k", "s"])
+    assert out.columns == rows.columns and sorted(r["k"] for r in out.collect()) == sorted(want)
+    monkeypatch.setattr(common, "BITMAP_BITS", 64)
+    assert sorted(r["k"] for r in common.unlisted(rows, keys, ["k", "s"]).collect()) == sorted(want)
+    assert common.unlisted(rows, common.stage(keys.limit(0), "test"), ["k", "s"]).count() == 8000
+
+
+def test_stages_ship_no_text_that_stays(spark):
+    """Beyond the threshold of broadcasts, too: before, whole texts were shuffled to be looked up in the list of what goes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = common.stage(docs(spark, [(k, f"{k} " * 50) for k in range(2000)] + [(5000, "1 " * 50)]), "test")
+        for step in (exact_dedup.drop_copies, similar.drop_similar):
+            out = step(table)
+            assert out.count() == 2000
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("LeftAnti") == 1 and "getbit" in plan.split("LeftAnti")[1]  # what is looked up was filtered
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
