@@ -15,12 +15,18 @@ def _same(kind: str, a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in CONTENT[kind]])
 
 
+def _pairs(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """Old and new elements (structs ``o`` and ``n``) by a full outer join on id, with ``status``: created, deleted, modified or common."""
+    side = lambda df, c: df.select(F.col("id").alias(f"_{c}"), F.struct(*df.columns).alias(c))
+    pair = side(old, "o").join(side(new, "n"), F.col("_o") == F.col("_n"), "full_outer")
+    status = F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "deleted").when(_same(kind, "o", "n"), "common").otherwise("modified")
+    return pair.select(F.coalesce("_o", "_n").alias("id"), status.alias("status"), "o", "n")
+
+
 def diff(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
     """(kind, id, status, old_version, new_version) by a full outer join on id; status is created, deleted, modified or common."""
-    pair = old.alias("o").withColumn("_o", F.lit(True)).alias("o").join(new.withColumn("_n", F.lit(True)).alias("n"), F.col("o.id") == F.col("n.id"), "full_outer")
-    status = F.when(F.col("o._o").isNull(), "created").when(F.col("n._n").isNull(), "deleted").when(_same(kind, "o", "n"), "common").otherwise("modified")
     version = lambda side: F.col(f"{side}.info.version") if "info" in old.columns and "info" in new.columns else F.lit(None).cast("int")
-    return pair.select(F.lit(kind).alias("kind"), F.coalesce("o.id", "n.id").alias("id"), status.alias("status"), version("o").alias("old_version"), version("n").alias("new_version"))
+    return _pairs(old, new, kind).select(F.lit(kind).alias("kind"), "id", "status", version("o").alias("old_version"), version("n").alias("new_version"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -43,16 +49,30 @@ def lines(found: DataFrame, suppress_common: bool = False) -> DataFrame:
 
 
 def derive_changes(old: DataFrame, new: DataFrame, kind: str, increment_version: bool = False) -> DataFrame:
-    """Changes from ``old`` to ``new``: creates and modifies with the whole new element, deletes with the old version (raised by one on request)."""
-    found = diff(old, new, kind).where("status <> 'common'")
+    """Changes from ``old`` to ``new``: creates and modifies with the whole new element, deletes with the old version (raised by one on request).
+
+    A change for each differing pair of an old and a new element of one id, so ids that occur more than once give as many changes as they have pairs.
+    """
+    found = _pairs(old, new, kind).where("status <> 'common'")
     action = F.when(F.col("status") == "created", "create").when(F.col("status") == "modified", "modify").otherwise("delete")
-    rows = found.select("id", action.alias("action"), "old_version")
-    ups = rows.where("action <> 'delete'").drop("old_version").join(new, "id").withColumn("kind", F.lit(kind))
-    step = 1 if increment_version else 0
-    gone = rows.where("action = 'delete'").select("id", "action", (F.col("old_version") + step).alias("_v"))
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema if f.name not in ("id", "info")]
+    rows = [F.col(f"n.{c}").alias(c) for c in new.columns if c not in ("id", "info", "kind")]
     if "info" in new.columns:
         kinds = {f.name: f.dataType for f in new.schema["info"].dataType}
-        blank.append(F.struct(*[(F.col("_v") if n == "version" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]).alias("info"))
-    gone = gone.select("id", "action", *blank, F.lit(kind).alias("kind"))
-    return ups.unionByName(gone)
+        version = F.col("o.info.version") + (1 if increment_version else 0) if "info" in old.columns else F.lit(None)
+        gone = F.struct(*[(version if n == "version" else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+        rows.append(F.when(F.col("status") == "deleted", gone).otherwise(F.col("n.info")).alias("info"))
+    return found.select("id", action.alias("action"), *rows, F.lit(kind).alias("kind"))
+
+
+def derive_whole(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """The same where ids may occur more than once: an id that differs in any element, or in how many it has, is given with all its new elements.
+
+    For ``apply_changes(whole=True)``, which puts them in place of all old ones.
+    """
+    count = lambda df, a, b: df.select("id", F.lit(a).alias("a"), F.lit(b).alias("b"))
+    sizes = count(old, 1, 0).unionAll(count(new, 0, 1)).groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    other = _pairs(old, new, kind).where("status = 'modified'").select("id").distinct().withColumn("_differs", F.lit(True))
+    found = sizes.join(other, "id", "left").where("a <> b or _differs")
+    ups = found.where("b > 0").select("id", F.when(F.col("a") == 0, "create").otherwise("modify").alias("action")).join(new.drop("kind"), "id").withColumn("kind", F.lit(kind))
+    gone = found.where("b = 0").select("id", F.lit("delete").alias("action"), F.lit(kind).alias("kind"))
+    return ups.unionByName(gone, allowMissingColumns=True)
