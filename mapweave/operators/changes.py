@@ -31,12 +31,14 @@ def simplify(changes: DataFrame) -> DataFrame:
     return last_change(changes).withColumns({"action_rank": group, "kind_rank": kind})
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, kind: str) -> DataFrame:
+def apply_changes(base: DataFrame, changes: DataFrame, kind: str, whole: bool = False) -> DataFrame:
     """``base`` after the last change of each id: deleted rows go, creates and modifies replace or add, whatever was there before.
 
-    Deleting what isn't there does nothing; versions aren't compared.
+    Deleting what isn't there does nothing; versions aren't compared. ``whole`` takes changes of one moment, each id's
+    with all its new elements (``derive_whole``), so that elements which share an id all stand.
     """
-    last = last_change(changes.where(F.col("kind") == kind))
+    mine = changes.where(F.col("kind") == kind)
+    last = mine if whole else last_change(mine)
     columns = base.columns
     kept = base.join(last.select("id"), "id", "left_anti").select(columns)
     return kept.unionByName(last.where("action <> 'delete'").select(columns))
