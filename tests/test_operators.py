@@ -365,3 +365,19 @@ def test_changes_with_repeated_ids(spark):
     assert sorted(tuple(map(str, r)) for r in derived) == [("1", "modify", "11"), ("2", "modify", "21"), ("2", "modify", "22"), ("3", "delete", "None"), ("5", "create", "50")]
     back = changes.apply_changes(old, diff.derive_whole(old, new, "n"), "n", whole=True)
     assert sorted(tuple(r)[:3] for r in back.collect()) == sorted(tuple(r)[:3] for r in new.collect())
+
+
+def test_admin_edges_are_outside(spark):
+    """A point on an edge or corner is in no polygon, on whichever side."""
+    from mapweave.operators import geocode as gc
+
+    def edges(c):
+        return [(float(a[0]), float(a[1]), float(b[0]), float(b[1])) for a, b in zip(c, [*c[1:], c[0]], strict=True)]
+    big = 1_700_000_000
+    rows = [(1, 2, "square", None, 0, 8.0, 0, 0, 20_000_000, 20_000_000, edges([(0, 0), (20_000_000, 0), (20_000_000, 20_000_000), (0, 20_000_000)])),
+            (2, 3, "slope", None, 0, 8.0, -800_000_000, -big, 800_000_000, big, edges([(-big, -800_000_000), (big, 800_000_000), (-big, 800_000_000)]))]
+    polygons = spark.createDataFrame(rows, "id bigint, level int, name string, country string, poly int, area2 double, min_lat int, min_lon int, max_lat int, max_lon int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    q = spark.createDataFrame([("in", 5, 5), ("left", 5, 0), ("bottom", 0, 5), ("right", 5, 20_000_000), ("corner", 0, 0), ("slope", 8, 17), ("above", 9, 17), ("below", 7, 17)], "q string, qlat int, qlon int")
+    found = {(r["q"], r["name"]) for r in gc.admin_lookup(q, polygons).collect()}
+    assert {x for x in found if x[1] == "square"} == {("in", "square"), ("slope", "square"), ("above", "square"), ("below", "square")}
+    assert {x for x in found if x[1] == "slope" and x[0] in ("slope", "above", "below")} == {("above", "slope")}
