@@ -381,3 +381,39 @@ def test_admin_edges_are_outside(spark):
     found = {(r["q"], r["name"]) for r in gc.admin_lookup(q, polygons).collect()}
     assert {x for x in found if x[1] == "square"} == {("in", "square"), ("slope", "square"), ("above", "square"), ("below", "square")}
     assert {x for x in found if x[1] == "slope" and x[0] in ("slope", "above", "below")} == {("above", "slope")}
+
+
+def test_admin_lookup_leaves_out_what_a_covered_cell_hides(spark):
+    """Many areas over one place: the smallest is found, with few joined to it, also where outlines are slanted, holed or of another level."""
+    from mapweave.operators import geocode as gc
+
+    def edges(*rings):
+        return [(float(a[0]), float(a[1]), float(b[0]), float(b[1])) for c in rings for a, b in zip(c, [*c[1:], c[0]], strict=True)]
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    one = 10_000_000
+    rows = [(k, 2, f"a{k}", None, 0, float(100 + k), -5 * one, -5 * one, 5 * one, 5 * one, edges(square(-5 * one, -5 * one, 10 * one))) for k in range(300)]
+    rows.append((900, 2, "holed", None, 0, 1.0, -3 * one, -3 * one, 3 * one, 3 * one, edges(square(-3 * one, -3 * one, 6 * one), square(one // 4, one // 4, one // 4))))
+    rows.append((901, 3, "slanted", None, 0, 1.0, -3 * one, -3 * one, 3 * one, 3 * one, edges([(0, -3 * one), (3 * one, 0), (0, 3 * one), (-3 * one, 0)])))
+    polygons = spark.createDataFrame(rows, gc.POLYGONS)
+    q = spark.createDataFrame([("hole", one * 3 // 8, one * 3 // 8), ("plain", -one // 2, one // 2), ("rim", 35 * one // 10, 0), ("out", 6 * one, 0)], "q string, qlat int, qlon int")
+    found = gc.admin_lookup(q, polygons)
+    assert sorted((r["q"], r["level"], r["name"]) for r in found.collect()) == [("hole", 2, "a0"), ("hole", 3, "slanted"), ("plain", 2, "holed"), ("plain", 3, "slanted"), ("rim", 2, "a0")]
+    assert max(_metrics(found, "SortMergeJoin")) <= 20
+
+
+def _metrics(df, node):
+    """Output rows of the executed plan's nodes of a name."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(k) for k in range(p.children().size())]
+            if name == node:
+                out.append(p.metrics().apply("numOutputRows").value())
+    return out
