@@ -417,3 +417,39 @@ def _metrics(df, node):
             if name == node:
                 out.append(p.metrics().apply("numOutputRows").value())
     return out
+
+
+def _scattered(spark, n, seed, columns):
+    """Rows (id, then two places of whole units) over a few degrees, crowded at one corner."""
+    import random
+
+    pick = random.Random(seed)
+    return spark.createDataFrame([(k, int(60_000_000 * pick.random() ** 3), int(60_000_000 * pick.random() ** 3)) for k in range(n)], columns)
+
+
+def test_nearest_points_by_radii(spark, monkeypatch):
+    """The nearest of all within a wide radius, found among far fewer pairs than lie within it; the smallest id of those at one place."""
+    from mapweave.operators import geocode as gc
+
+    points = _scattered(spark, 3000, 1, "id bigint, lat_e7 int, lon_e7 int")
+    points = points.unionAll(points.selectExpr("id + 10000", "lat_e7", "lon_e7"))
+    queries = _scattered(spark, 400, 2, "q bigint, qlat int, qlon int").unionAll(spark.createDataFrame([(900, -40_000_000, -40_000_000), (901, 890_000_000, 0)], "q bigint, qlat int, qlon int"))
+    pairs = []
+    monkeypatch.setattr(gc, "near_points", lambda q, p, r, f=gc.near_points: pairs.append(f(q, p, r).count()) or f(q, p, r))
+    found = {r["q"]: (r["id"], round(r["metres"], 3)) for r in gc.nearest_points(queries, points, 900_000.0, "id").collect()}
+    brute = queries.crossJoin(points).withColumn("d2", geo.distance_sq(F.col("qlat"), F.col("qlon"), F.col("lat_e7"), F.col("lon_e7"))).where(geo.metres(F.col("d2")) < 900_000.0)
+    assert found == {r["q"]: (r["id"], round(r["metres"], 3)) for r in gc.nearest(brute, "id").collect()}
+    assert 900 in found and 901 not in found and len(pairs) > 2 and sum(pairs) < 402 * 3000 / 20
+
+
+def test_near_rows_are_not_broadcast(spark):
+    """Cells unfold a small table to a large one, which mustn't go through the driver; each pair is met once."""
+    from mapweave.operators import geocode as gc
+
+    segs = spark.createDataFrame([(1, 0, -500_000_000, -1_700_000_000, 500_000_000, 1_700_000_000), (2, 0, 0, 0, 3, 3)], "id bigint, seg int, lat1 int, lon1 int, lat2 int, lon2 int")
+    queries = spark.createDataFrame([(1, 0, 0), (2, 10_000_000, 1_000_000)], "q bigint, qlat int, qlon int")
+    for found in (gc.near_segments(queries, segs, 200_000.0), gc.near_points(queries, segs.selectExpr("id", "lat2 as lat_e7", "lon2 as lon_e7"), 200_000.0)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    found = gc.near_segments(queries, segs, 200_000.0)
+    assert sorted((r["q"], r["id"]) for r in found.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
