@@ -175,3 +175,15 @@ def test_columns_are_what_wire_reads_and_writes():
     good = columns.write_block(columns.of_rows([wire._row("w", 1, refs=[5, 6]) | {"tags": []}]))[0]
     with pt.raises((columns.Unusual, ValueError)):
         columns.elements(good[:-1])
+
+
+def test_parsing_changes_keeps_no_actions():
+    """Memory while a file is parsed doesn't grow with the changes in it."""
+    import tracemalloc
+
+    data = b"<osmChange>" + b"".join(b'<modify><node id="%d" lat="1" lon="2"/></modify>' % k for k in range(20_000)) + b"</osmChange>"
+    tracemalloc.start()
+    seen = sum(1 for _ in osc.parse_changes(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 20_000 and peak < 1_000_000
