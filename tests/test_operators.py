@@ -435,7 +435,7 @@ def test_nearest_points_by_radii(spark, monkeypatch):
     points = points.unionAll(points.selectExpr("id + 10000", "lat_e7", "lon_e7"))
     queries = _scattered(spark, 400, 2, "q bigint, qlat int, qlon int").unionAll(spark.createDataFrame([(900, -40_000_000, -40_000_000), (901, 890_000_000, 0)], "q bigint, qlat int, qlon int"))
     pairs = []
-    monkeypatch.setattr(gc, "near_points", lambda q, p, r, f=gc.near_points: pairs.append(f(q, p, r).count()) or f(q, p, r))
+    monkeypatch.setattr(gc, "near_points", lambda q, p, r, few=False, f=gc.near_points: pairs.append(f(q, p, r, few=few).count()) or f(q, p, r, few=few))
     found = {r["q"]: (r["id"], round(r["metres"], 3)) for r in gc.nearest_points(queries, points, 900_000.0, "id").collect()}
     brute = queries.crossJoin(points).withColumn("d2", geo.distance_sq(F.col("qlat"), F.col("qlon"), F.col("lat_e7"), F.col("lon_e7"))).where(geo.metres(F.col("d2")) < 900_000.0)
     assert found == {r["q"]: (r["id"], round(r["metres"], 3)) for r in gc.nearest(brute, "id").collect()}
